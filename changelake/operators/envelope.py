@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column as SqlColumn, DataFrame, functions as F
+from pyspark.sql import Column as SqlColumn, DataFrame, functions as F, types as T
 
 from changelake.functions import empty_list, narrow, split_list, version_time, yyyymm
 from changelake.specs import Column, TableSpec
@@ -15,16 +15,24 @@ ENVELOPE_COLUMNS = ("op", "before", "after", "ts_ms")
 TRANSPORT_COLUMNS = ("topic", "partition", "offset")
 
 
-def parse_messages(messages: DataFrame, spec: TableSpec, message: str = "value") -> DataFrame:
-    """Replace the JSON text column by the four envelope columns. Each message is parsed once.
+def parse_messages(
+    messages: DataFrame,
+    spec: TableSpec,
+    message: str = "value",
+    keep_message: bool = False,
+    schema: T.StructType | None = None,
+) -> DataFrame:
+    """Add the four envelope columns in place of the JSON text column.
 
     Null messages (the marker a broker keeps after a delete) and broken JSON both give a
     null ``op``; ``resolve`` drops them and ``rejects`` reports them.
+
+    The text is parsed in a generator with one output row. A plain projection would be
+    copied into every filter above it and parse each message once per use.
     """
-    text = F.col(message).cast("string")
-    parsed = messages.withColumn("_env", F.from_json(text, spec.envelope_schema))
-    keep = [c for c in messages.columns if c != message]
-    return parsed.select(*keep, *[F.col(f"_env.{c}").alias(c) for c in ENVELOPE_COLUMNS])
+    keep = [c for c in messages.columns if c != message or keep_message]
+    envelope = F.from_json(F.col(message).cast("string"), schema or spec.envelope_schema)
+    return messages.select(*keep, F.inline(F.array(envelope)).alias(*ENVELOPE_COLUMNS))
 
 
 def _blank(column: Column, null_policy: str) -> SqlColumn:
@@ -104,7 +112,7 @@ def resolve(
 
 def decode(messages: DataFrame, spec: TableSpec, message: str = "value", **policies) -> DataFrame:
     """Raw JSON messages to changelog rows, see ``resolve`` for the policies."""
-    return resolve(parse_messages(messages, spec, message), spec, **policies)
+    return resolve(parse_messages(messages, spec, message, schema=spec.decode_schema), spec, **policies)
 
 
 def decode_legacy(messages: DataFrame, spec: TableSpec, message: str = "value", **policies) -> DataFrame:
@@ -114,16 +122,16 @@ def decode_legacy(messages: DataFrame, spec: TableSpec, message: str = "value",
 
 def rejects(messages: DataFrame, spec: TableSpec, message: str = "value") -> DataFrame:
     """The messages ``decode`` drops, whole, each with a reason."""
-    op = F.col("_env.op")
+    op = F.col("op")
     key = spec.column(spec.keys[0])
-    image = F.when(op == "d", F.col(f"_env.before.{key.name}")).otherwise(F.col(f"_env.after.{key.name}"))
+    image = F.when(op == "d", F.col(f"before.{key.name}")).otherwise(F.col(f"after.{key.name}"))
     reason = (
         F.when(F.col(message).isNull(), "null message")
         .when(op.isNull(), "malformed")
         .when(~op.isin(*FULL_OPS), "unknown operation")
         .when(~F.coalesce(_key_present(key, image), F.lit(False)), "blank key")
     )
-    parsed = messages.withColumn("_env", F.from_json(F.col(message).cast("string"), spec.envelope_schema))
+    parsed = parse_messages(messages, spec, message, keep_message=True, schema=spec.decode_schema)
     return parsed.select(*messages.columns, reason.alias("reason")).filter("reason IS NOT NULL")
 
 

@@ -205,7 +205,7 @@ def latest_from_files(t: Tables) -> DataFrame:
     """The log in two appends, as two loads leave it."""
     path = t.scratch("appended")
     log = fx.lineitem_log(t)
-    changelog.append_log(log.filter("cdc_operation = 'd'"), path, fx.LINEITEM, arrange=False)
-    changelog.append_log(log.filter("cdc_operation <> 'd'"), path, fx.LINEITEM, arrange=False)
+    changelog.append_log(log.filter("cdc_operation = 'd'"), path, fx.LINEITEM, layout=None)
+    changelog.append_log(log.filter("cdc_operation <> 'd'"), path, fx.LINEITEM, layout="month")
     rows = latest(changelog.read_log(t.spark, path, fx.LINEITEM), fx.LINEITEM.keys)
     return rows.select("l_orderkey", "l_linenumber", "is_deleted")

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from changelake.operators.envelope import decode, encode, resolve
-from changelake.plans.registry import Tables
+from changelake.functions import yyyymm
+from changelake.operators.envelope import decode, encode
+from changelake.plans.registry import Tables, spread
 from changelake.specs import TITLE_TABLES, TableSpec, table
 
 EVENTS = table("events", "user_id:int64 event_type:string amount:float64", keys="user_id")
@@ -67,7 +68,7 @@ def event_envelopes(events: DataFrame) -> DataFrame:
 
 
 def event_messages(events: DataFrame) -> DataFrame:
-    return encode(event_envelopes(events), EVENTS)
+    return encode(event_envelopes(spread(events)), EVENTS)
 
 
 def events_log(t: Tables) -> DataFrame:
@@ -105,12 +106,31 @@ def lineitem_envelopes(lineitem: DataFrame) -> DataFrame:
 
 
 def lineitem_messages(lineitem: DataFrame) -> DataFrame:
-    return encode(lineitem_envelopes(lineitem), LINEITEM)
+    return encode(lineitem_envelopes(spread(lineitem)), LINEITEM)
 
 
 def lineitem_log(t: Tables) -> DataFrame:
-    """Straight from the envelope columns, without the detour through JSON text."""
-    return resolve(lineitem_envelopes(t.lineitem), LINEITEM)
+    """The log as it is stored, made without the detour through messages: plain key columns,
+    so filters on them can reach the scan."""
+    flag = F.col("l_returnflag")
+    op = F.when(flag == "N", "c").when(flag == "A", "u").otherwise("d")
+    gone = flag == "R"
+    version = F.date_trunc("second", F.col("l_shipdate").cast("timestamp"))
+    return t.lineitem.select(
+        "l_orderkey",
+        F.col("l_linenumber").cast("bigint").alias("l_linenumber"),
+        F.when(gone, 0).otherwise(F.col("l_partkey")).alias("l_partkey"),
+        F.when(gone, 0.0).otherwise(F.col("l_quantity")).alias("l_quantity"),
+        F.when(gone, "").otherwise(F.col("l_linestatus")).alias("l_linestatus"),
+        op.alias("cdc_operation"),
+        version.alias("cdc_timestamp"),
+        gone.cast("smallint").alias("is_deleted"),
+        F.current_timestamp().alias("processing_time"),
+        F.lit("cdc.demo.lineitem").alias("topic"),
+        (F.col("l_orderkey") % 5).cast("int").alias("partition"),
+        (F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("offset"),
+        yyyymm(version).alias("yyyymm"),
+    )
 
 
 LINEITEM_CL = """
@@ -204,7 +224,7 @@ TITLE_SOURCES = {
 def title_messages(t: Tables, name: str, given_rows: DataFrame | None = None) -> DataFrame:
     spec = TITLE_TABLES[name]
     given, select = TITLE_SOURCES[name]
-    rows = t.spark.sql(select + " FROM {src}", src=t(given) if given_rows is None else given_rows)
+    rows = t.spark.sql(select + " FROM {src}", src=spread(t(given)) if given_rows is None else given_rows)
     envelopes = _envelopes(
         rows,
         spec,

@@ -41,6 +41,17 @@ class Tables:
         return scratch_dir(self.spark, name)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Give every core some rows of an input that comes in fewer splits than there are cores.
+
+    For costly row-wise work on a small table. A table with enough splits is not shuffled.
+    """
+    if rows.isStreaming:
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, *rows.columns)
+
+
 def register(name: str, sql: str | None = None):
     """Decorator. ``sql`` is the DuckDB statement with the same result, if there is one."""
 

@@ -15,20 +15,40 @@ MAX_RETENTION_HOURS = 168
 RETENTION_HOURS = {"aggressive": 1, "balanced": 4, "conservative": 24}
 
 
-def arranged(log: DataFrame, spec: TableSpec, sort: tuple[str, ...] | None = None) -> DataFrame:
-    """Log rows cut into key ranges within months and sorted, so files skip well.
-
-    The version columns are part of the range, so neither a hot month nor a hot key ends
-    up in one task.
+def arranged(log: DataFrame, spec: TableSpec, layout: str = "range") -> DataFrame:
+    """Log rows laid out for writing by month, sorted by key so files skip well.
+
+    ``range`` cuts months into key ranges. The version columns are part of the range, so
+    neither a hot month nor a hot key ends up in one task. It samples its input, so a
+    costly input is computed twice. ``month`` gathers months in one pass, and adaptive
+    execution splits the big ones; files of a month then overlap in their keys.
+    Rows without ``is_deleted`` belong to an append-only table and take its own sort order.
     """
-    by = ["yyyymm", *(sort or spec.keys)]
+    by = ["yyyymm", *(spec.keys if "is_deleted" in log.columns else spec.append_sort)]
     by += [c for c in VERSION_ORDER if c in log.columns and c not in by]
-    return log.repartitionByRange(*by).sortWithinPartitions(*by)
+    if layout == "range":
+        return log.repartitionByRange(*by).sortWithinPartitions(*by)
+    if layout == "month":
+        return log.hint("rebalance", F.col("yyyymm")).sortWithinPartitions(*by)
+    raise ValueError(f"unknown layout {layout!r}")
+
+
+def append_log(
+    log: DataFrame, path: str, spec: TableSpec, layout: str | None = "range", rows_per_file: int = 0, mode: str = "append"
+) -> None:
+    """Append to a stored log. Without a layout rows are written as they come."""
+    rows = arranged(log, spec, layout) if layout else log
+    rows.write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy("yyyymm").parquet(path)
 
 
-def append_log(log: DataFrame, path: str, spec: TableSpec, arrange: bool = True, rows_per_file: int = 0, mode: str = "append") -> None:
-    rows = arranged(log, spec) if arrange else log
-    rows.write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy("yyyymm").parquet(path)
+def save_bucketed(rows: DataFrame, name: str, keys: tuple[str, ...], buckets: int) -> None:
+    """Save a table hashed and sorted by its keys.
+
+    Two tables saved with the same keys and buckets are joined on them, and resolved to
+    their latest versions, without a shuffle.
+    """
+    spread = rows.repartition(buckets, *keys)
+    spread.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
 
 
 def read_log(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:

@@ -100,12 +100,23 @@ class TableSpec:
         """Row image as it appears in the envelope: list columns are comma-joined text."""
         return T.StructType([T.StructField(c.name, c.json_type) for c in self.columns])
 
+    def schema_of(self, names: tuple[str, ...]) -> T.StructType:
+        return T.StructType([f for f in self.row_schema.fields if f.name in names])
+
     @property
     def envelope_schema(self) -> T.StructType:
+        return self._envelope(self.row_schema)
+
+    @property
+    def decode_schema(self) -> T.StructType:
+        """What decoding reads: of the before image only the keys, so the parser skips the rest."""
+        return self._envelope(self.schema_of(self.keys))
+
+    def _envelope(self, before: T.StructType) -> T.StructType:
         return T.StructType(
             [
                 T.StructField("op", T.StringType()),
-                T.StructField("before", self.row_schema),
+                T.StructField("before", before),
                 T.StructField("after", self.row_schema),
                 T.StructField("ts_ms", T.LongType()),
             ]

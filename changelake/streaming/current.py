@@ -41,12 +41,34 @@ def maintain_current(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def read_current(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
+def _batches(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
     schema = T.StructType([*spec.log_schema.fields, T.StructField("batch", T.LongType())])
-    return latest(spark.read.schema(schema).parquet(path), spec.keys).drop("batch")
+    return spark.read.schema(schema).parquet(path)
 
 
-def fold_current(spark: SparkSession, path: str, spec: TableSpec, into: str) -> None:
-    """Merge all batch folders into one at a new place; point readers there afterwards."""
-    rows = read_current(spark, path, spec)
-    rows.repartitionByRange(*spec.keys).sortWithinPartitions(*spec.keys).write.mode("errorifexists").parquet(f"{into}/batch=-1")
+def read_current(spark: SparkSession, path: str, spec: TableSpec, folded: int | None = None) -> DataFrame:
+    """The current table. ``folded`` is the return value of the last ``fold_current``.
+
+    It only saves reading: folders merged by the fold are skipped. The result is the same
+    without it.
+    """
+    rows = _batches(spark, path, spec)
+    if folded is not None:
+        rows = rows.filter((F.col("batch") == -(folded + 1)) | (F.col("batch") > folded))
+    return latest(rows.drop("batch"), spec.keys)
+
+
+def fold_current(spark: SparkSession, path: str, spec: TableSpec, folded: int | None = None) -> int | None:
+    """Merge the batch folders written so far into one, next to them; the stream may go on.
+
+    Returns the number of the last merged batch. Folders up to it can be deleted once no
+    reader uses them. A fold that fails half-way changes no result; its folder is never
+    written over.
+    """
+    last = _batches(spark, path, spec).filter("batch >= 0").agg(F.max("batch")).first()[0]
+    if last is None or last == folded:
+        return folded
+    rows = read_current(spark, path, spec, folded) if folded is not None else _batches(spark, path, spec).drop("batch")
+    merged = latest(rows, spec.keys).repartitionByRange(*spec.keys).sortWithinPartitions(*spec.keys)
+    merged.write.mode("errorifexists").parquet(f"{path}/batch={-(last + 1)}")
+    return last
