@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column as SqlColumn, DataFrame, Window, functions as F
 
 from changelake.functions import start_of_minute
+from changelake.operators.skew import copied, salted
 from changelake.operators.versions import latest, moment
 
 # Fixed value: advice for the partition count of a topic.
@@ -108,12 +109,10 @@ def exact_percentile(
     their counts: about four ``n / accuracy`` values of a group at most. Groups shorter
     than ten times the accuracy are passed on whole.
     """
-    by = list(by)
-    groups = [f"_g{i}" for i in range(len(by))] or ["_g0"]
-    group_values = [F.col(c) for c in by] or [F.lit(0)]
-    named = [v.alias(g) for v, g in zip(group_values, groups)]
-    rows = rows.filter(F.col(value).isNotNull()).select(*named, F.col(value).cast("double").alias("_v"))
-
+    groups = {f"_g{i}": c for i, c in enumerate(by)}
+    rows = rows.filter(F.col(value).isNotNull()).select(
+        *[F.col(c).alias(g) for g, c in groups.items()], F.col(value).cast("double").alias("_v")
+    )
     slack = 2.0 / accuracy
     ends = F.array(F.lit(max(0.0, p - slack)), F.lit(min(1.0, p + slack)))
     bounds = rows.groupBy(*[F.col(g).alias(f"{g}b") for g in groups]).agg(
@@ -123,23 +122,25 @@ def exact_percentile(
         F.count("*").alias("_n"),
     )
     short = F.col("_n") < 10 * accuracy
-    bounds = bounds.select(
-        *[f"{g}b" for g in groups],
-        F.when(short | F.lit(p <= slack), F.col("_min")).otherwise(F.col("_ends")[0]).alias("_low"),
-        F.when(short | F.lit(p + slack >= 1), F.col("_max")).otherwise(F.col("_ends")[1]).alias("_high"),
-        "_n",
-    )
-    if not by or rows.select(*groups).distinct().limit(small + 1).count() <= small:
-        bounds = F.broadcast(bounds)
-    same_group = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"{g}b")) for g in groups])
-
+    bracket = {
+        "_low": F.when(short | F.lit(p <= slack), F.col("_min")).otherwise(F.col("_ends")[0]),
+        "_high": F.when(short | F.lit(p + slack >= 1), F.col("_max")).otherwise(F.col("_ends")[1]),
+        "_n": F.col("_n"),
+    }
+    bounds = bounds.select(*[f"{g}b" for g in groups], F.struct(*[e.alias(n) for n, e in bracket.items()]).alias("_bounds"))
+    if groups:
+        same_group = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"{g}b")) for g in groups])
+        if rows.select(*groups).distinct().limit(small + 1).count() <= small:
+            bounded = rows.join(F.broadcast(bounds), same_group)
+        else:
+            dealt, copies = salted(rows, ["_v"]), copied(bounds).withColumnRenamed("_salt", "_salt_b")
+            bounded = dealt.join(copies, same_group & (F.col("_salt") == F.col("_salt_b")))
+    else:
+        bounded = rows.withColumn("_bounds", bounds.scalar())
+
+    bounded = bounded.select(*groups, "_v", "_bounds.*").filter("_v <= _high")
     inside = F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v")
-    counted = (
-        rows.join(bounds, same_group)
-        .filter(F.col("_v") <= F.col("_high"))
-        .groupBy(*groups, inside, "_n")
-        .agg(F.count("*").alias("_c"))
-    )
+    counted = bounded.groupBy(*groups, inside, "_n").agg(F.count("*").alias("_c"))
     upward = Window.partitionBy(*groups).orderBy(F.col("_v").asc_nulls_first())
     ranked = counted.withColumn("_upto", F.sum("_c").over(upward.rowsBetween(Window.unboundedPreceding, 0)))
     place = F.lit(p) * (F.col("_n") - 1)
@@ -151,5 +152,5 @@ def exact_percentile(
     )
     a, b = F.col("_a"), F.coalesce("_b", "_a")
     return picked.select(
-        *[F.col(g).alias(c) for g, c in zip(groups, by)], (a + (b - a) * F.col("_frac")).alias("percentile")
+        *[F.col(g).alias(c) for g, c in groups.items()], (a + (b - a) * F.col("_frac")).alias("percentile")
     )

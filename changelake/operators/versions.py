@@ -13,6 +13,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column as SqlColumn, DataFrame, Window, functions as F
 
 from changelake.functions import op_label
+from changelake.operators.skew import spread_join
 from changelake.specs import VERSION_ORDER, TableSpec
 
 # Fixed value: soft-deleted rows are kept this long.
@@ -121,7 +122,11 @@ def expire_deleted(
     """The log without the keys deleted long ago.
 
     All versions of such a key go together; removing the delete alone would bring the
-    row back. The key list is left to adaptive execution: it broadcasts it when its
-    measured size allows, and otherwise splits the skewed partitions of the log side.
+    row back.
     """
-    return log.join(expired_keys(log, keys, at, days), list(keys), "left_anti")
+    return spread_join(log, expired_keys(log, keys, at, days), keys, "left_anti", VERSION_ORDER)
+
+
+def of_keys(log: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Log rows of the listed keys, for lists too long for ``isin``."""
+    return spread_join(log, wanted.select(*keys).distinct(), keys, "left_semi", VERSION_ORDER)

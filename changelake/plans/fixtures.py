@@ -68,7 +68,8 @@ def event_envelopes(events: DataFrame) -> DataFrame:
 
 
 def event_messages(events: DataFrame) -> DataFrame:
-    return encode(event_envelopes(spread(events)), EVENTS)
+    used = events.select("event_id", "ts", "user_id", "event_type", "value")
+    return encode(event_envelopes(spread(used)), EVENTS)
 
 
 def events_log(t: Tables) -> DataFrame:
@@ -106,7 +107,8 @@ def lineitem_envelopes(lineitem: DataFrame) -> DataFrame:
 
 
 def lineitem_messages(lineitem: DataFrame) -> DataFrame:
-    return encode(lineitem_envelopes(spread(lineitem)), LINEITEM)
+    used = lineitem.select(*LINEITEM.names, "l_suppkey", "l_returnflag", "l_shipdate")
+    return encode(lineitem_envelopes(spread(used)), LINEITEM)
 
 
 def lineitem_log(t: Tables) -> DataFrame:
@@ -224,7 +226,7 @@ TITLE_SOURCES = {
 def title_messages(t: Tables, name: str, given_rows: DataFrame | None = None) -> DataFrame:
     spec = TITLE_TABLES[name]
     given, select = TITLE_SOURCES[name]
-    rows = t.spark.sql(select + " FROM {src}", src=spread(t(given)) if given_rows is None else given_rows)
+    rows = spread(t.spark.sql(select + " FROM {src}", src=t(given) if given_rows is None else given_rows))
     envelopes = _envelopes(
         rows,
         spec,

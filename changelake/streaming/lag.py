@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from changelake.operators.skew import spread_join
+
 # Lag that counts as caught up, and how long to wait for it.
 LAG_THRESHOLD = 1_000_000
 WAIT_SECONDS = 300
@@ -73,7 +75,7 @@ def throughput_series(samples: DataFrame, threshold: int = LAG_THRESHOLD) -> Dat
 def until_caught_up(series: DataFrame) -> DataFrame:
     """The series up to and including each topic's first sample below the threshold."""
     first = series.groupBy("topic").agg(F.min(F.when(F.col("caught_up"), F.col("sampled_at"))).alias("_stop"))
-    return series.join(first, "topic").filter("_stop IS NULL OR sampled_at <= _stop").drop("_stop")
+    return spread_join(series, first, ["topic"], "inner", ["sampled_at"]).filter("_stop IS NULL OR sampled_at <= _stop").drop("_stop")
 
 
 def wait_for_lag(

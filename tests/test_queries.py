@@ -18,7 +18,11 @@ def con():
 
 @pytest.mark.parametrize("name", [n for n, q in REGISTRY.items() if q.sql])
 def test_matches_twin(spark, con, name):
-    oracle.compare(execute(name, spark, SF_DIR), con, REGISTRY[name].sql)
+    frame = execute(name, spark, SF_DIR)
+    oracle.compare(frame, con, REGISTRY[name].sql)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    for unwanted in ("CartesianProduct", "NestedLoopJoin", "Python"):
+        assert unwanted not in plan
 
 
 @pytest.mark.parametrize("name", [n for n, q in REGISTRY.items() if not q.sql])

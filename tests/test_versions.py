@@ -118,6 +118,36 @@ def test_hot_key_is_cut_before_the_shuffle(spark):
     assert newest.filter("k = -1").first().offset == 299_997
 
 
+def test_expiry_splits_a_hot_key(spark):
+    """Half of the log is one living key: it is dealt over the tasks of the join."""
+    rows = spark.range(0, 200_000, 1, 8)
+    key = F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id"))
+    log = rows.select(
+        key.alias("k"),
+        F.timestamp_seconds(F.col("id")).alias("cdc_timestamp"),
+        F.col("id").alias("offset"),
+        (F.col("id") % 3 == 1).cast("int").alias("is_deleted"),
+        F.sha2(F.col("id").cast("string"), 256).alias("text"),
+    )
+    log = log.withColumn("is_deleted", F.when(F.col("k") == -1, 0).otherwise(F.col("is_deleted")))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        left = v.expire_deleted(log, ["k"], datetime(2024, 1, 1))
+        sizes = [r.n for r in left.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 200_000 - sum(1 for i in range(1, 200_000, 2) if i % 3 == 1)
+        assert max(sizes) < 60_000
+        assert "SortMergeJoin [k" in left._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+
+
 def test_key_filter_reaches_the_scan_and_others_do_not(spark):
     log = fx.lineitem_log(Tables(spark, SMALL))
 
