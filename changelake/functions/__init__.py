@@ -2,6 +2,7 @@
 
 from changelake.functions.scalars import (
     empty_list,
+    has_prefix,
     join_list,
     narrow,
     null_if,
@@ -17,6 +18,7 @@ from changelake.functions.scalars import (
 
 __all__ = [
     "empty_list",
+    "has_prefix",
     "join_list",
     "narrow",
     "null_if",

@@ -77,6 +77,14 @@ def null_if(text: str | Column, marker: str = "\\N") -> Column:
     return F.nullif(_col(text), F.lit(marker))
 
 
+def has_prefix(text: str | Column, prefix: str, ignore_case: bool = False) -> Column:
+    """Prefix match, by bytes or or without regard to case, as the source's collation compares."""
+    text = _col(text)
+    if not ignore_case:
+        return text.startswith(prefix)
+    return F.startswith(F.collate(text, "UNICODE_CI"), F.collate(F.lit(prefix), "UNICODE_CI"))
+
+
 def op_label(op: str | Column) -> Column:
     op = _col(op)
     out = None

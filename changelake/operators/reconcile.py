@@ -23,14 +23,19 @@ ALERT_RULES = (
 MAX_SAMPLE = 100_000
 
 
-def side_counts(
-    sources: dict[str, DataFrame], targets: dict[str, DataFrame], predicate: str | SqlColumn | None = None
-) -> DataFrame:
-    """``(table_name, source_count, target_count)``; one aggregate per side and table."""
+Predicate = str | SqlColumn | dict[str, str | SqlColumn] | None
+
+
+def side_counts(sources: dict[str, DataFrame], targets: dict[str, DataFrame], predicate: Predicate = None) -> DataFrame:
+    """``(table_name, source_count, target_count)``; one aggregate per side and table.
+
+    ``predicate`` limits the rows counted: one for all tables, or one per table name.
+    """
 
     def counted(name: str, frame: DataFrame, side: str) -> DataFrame:
-        if predicate is not None:
-            frame = frame.filter(predicate)
+        condition = predicate.get(name) if isinstance(predicate, dict) else predicate
+        if condition is not None:
+            frame = frame.filter(condition)
         n = frame.agg(F.count("*").alias("n"))
         return n.select(F.lit(name).alias("table_name"), F.lit(side).alias("side"), "n")
 
@@ -47,9 +52,7 @@ def side_counts(
     )
 
 
-def count_check(
-    sources: dict[str, DataFrame], targets: dict[str, DataFrame], predicate: str | SqlColumn | None = None
-) -> DataFrame:
+def count_check(sources: dict[str, DataFrame], targets: dict[str, DataFrame], predicate: Predicate = None) -> DataFrame:
     counts = side_counts(sources, targets, predicate)
     same = F.col("source_count").eqNullSafe(F.col("target_count"))
     return counts.withColumn("result", F.when(same, "PASS").otherwise("FAIL"))
@@ -63,12 +66,17 @@ def progress(sources: dict[str, DataFrame], targets: dict[str, DataFrame]) -> Da
     )
 
 
-def clean_check(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows left per table after a reset."""
-    counts = union_all(
-        [df.agg(F.count("*").alias("row_count")).select(F.lit(t).alias("table_name"), "row_count") for t, df in tables.items()]
+def clean_check(sources: dict[str, DataFrame], targets: dict[str, DataFrame], total: str = "TOTAL") -> DataFrame:
+    """Rows left per table after a reset, and in all; clean means none on either side."""
+    summed = (
+        side_counts(sources, targets)
+        .rollup("table_name")
+        .agg(F.sum("source_count").alias("source_count"), F.sum("target_count").alias("target_count"))
+    )
+    clean = (F.col("source_count") == 0) & (F.col("target_count") == 0)
+    return summed.select(
+        F.coalesce("table_name", F.lit(total)).alias("table_name"), "source_count", "target_count", clean.alias("clean")
     )
-    return counts.withColumn("clean", F.col("row_count") == 0)
 
 
 def _compared(source: DataFrame, target: DataFrame, spec: TableSpec, fields: Sequence[str] | None) -> tuple[DataFrame, dict]:

@@ -45,8 +45,8 @@ def decode_lineitem(t: Tables) -> DataFrame:
     return log.drop("processing_time", "topic", "partition")
 
 
-def damaged_messages(t: Tables) -> DataFrame:
-    """Every event, some spoiled: null text, broken JSON, unknown operation, missing key."""
+def damaged(messages: DataFrame) -> DataFrame:
+    """All messages, some spoiled: null text, broken JSON, unknown operation, missing key."""
     spoil = F.col("offset") % 100
     text = F.col("value")
     value = (
@@ -56,7 +56,7 @@ def damaged_messages(t: Tables) -> DataFrame:
         .when(spoil == 75, F.regexp_replace(text, '"user_id":[0-9]+', '"user_id":null'))
         .otherwise(text)
     )
-    return fx.event_messages(t.events).withColumn("value", value)
+    return messages.withColumn("value", value)
 
 
 @register(
@@ -67,7 +67,7 @@ def damaged_messages(t: Tables) -> DataFrame:
     FROM events WHERE event_id % 100 IN (0, 25, 50, 75)""",
 )
 def decode_rejects(t: Tables) -> DataFrame:
-    return rejects(damaged_messages(t), fx.EVENTS).select("offset", "partition", "reason")
+    return rejects(damaged(fx.event_messages(t.events)), fx.EVENTS).select("offset", "partition", "reason")
 
 
 @register(
@@ -75,7 +75,7 @@ def decode_rejects(t: Tables) -> DataFrame:
     fx.EVENTS_CL + "SELECT op AS cdc_operation, count(*) AS n FROM cl WHERE seq % 100 NOT IN (0, 25, 50, 75) GROUP BY op",
 )
 def decode_accepts(t: Tables) -> DataFrame:
-    return decode(damaged_messages(t), fx.EVENTS).groupBy("cdc_operation").agg(F.count("*").alias("n"))
+    return decode(damaged(fx.event_messages(t.events)), fx.EVENTS).groupBy("cdc_operation").agg(F.count("*").alias("n"))
 
 
 # --- lists and narrowing -------------------------------------------------------------

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from changelake.operators.audit import storage_stats, table_counts
+from changelake.operators.changes import snapshot_to_changes
+from changelake.operators.envelope import resolve
 from changelake.operators.reconcile import clean_check
 from changelake.operators.versions import active, latest
 from changelake.plans import fixtures as fx
 from changelake.plans.registry import Tables, register
 from changelake.sources import changelog, tsv
 from changelake.specs import table
-from changelake.streaming.ingest import drain
+from changelake.streaming.ingest import drain, load_chunks
 
 CUSTOMER_OUT = "c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment"
 
@@ -62,6 +66,35 @@ def tsv_null_clean(t: Tables) -> DataFrame:
     return tsv.read_tsv(t.spark, path, SPOILED, blank_is_null=["c_flag"])
 
 
+def _register_title_load(name: str) -> None:
+    spec = fx.TITLE_TABLES[name]
+    given, select = fx.TITLE_SOURCES[name]
+    sql_types = {"string": "VARCHAR", "list": "VARCHAR", "float32": "DOUBLE"}
+    own = ", ".join(f"CAST({c.name} AS {sql_types.get(c.kind, 'BIGINT')}) AS {c.name}" for c in spec.columns)
+
+    @register(f"load_{name}", f"SELECT {own} FROM ({select} FROM {given})")
+    def loaded(t: Tables) -> DataFrame:
+        """Source rows as a bulk file with null markers, loaded back."""
+        path = t.scratch(f"{name}-tsv")
+        tsv.write_tsv(t.spark.sql(select + " FROM {src}", src=t(given)).select(*spec.names), path)
+        return tsv.read_tsv(t.spark, path, spec)
+
+
+for _name in fx.TITLE_TABLES:
+    _register_title_load(_name)
+
+
+@register("bulk_load", f"SELECT {CUSTOMER_OUT}, 'r' AS cdc_operation FROM customer")
+def bulk_load(t: Tables) -> DataFrame:
+    """Bulk file to snapshot reads to a stored log to active rows."""
+    path = t.scratch("bulk-log")
+    rows = tsv.read_tsv(t.spark, customer_tsv(t), fx.CUSTOMER)
+    changes = snapshot_to_changes(rows, fx.CUSTOMER, datetime(2002, 1, 1)).withColumn("offset", F.lit(0))
+    changelog.append_log(resolve(changes, fx.CUSTOMER), path, fx.CUSTOMER)
+    log = changelog.read_log(t.spark, path, fx.CUSTOMER)
+    return active(log, fx.CUSTOMER.keys).select(*fx.CUSTOMER.names, "cdc_operation")
+
+
 @register("load_sample", f"SELECT {CUSTOMER_OUT} FROM customer ORDER BY c_custkey LIMIT 1000")
 def load_sample(t: Tables) -> DataFrame:
     """First-N load, a report feature of the loader."""
@@ -82,10 +115,9 @@ def chunk_plan(t: Tables) -> DataFrame:
 def chunked_load(t: Tables) -> DataFrame:
     """Rows written as chunks of bounded size, loaded chunk by chunk by a stream."""
     root = t.scratch("chunked")
-    t.orders.select(*fx.ORDERS.names).write.option("maxRecordsPerFile", 50_000).parquet(f"{root}/chunks")
-    chunks = t.spark.readStream.schema(fx.ORDERS.row_schema).option("maxFilesPerTrigger", 16).parquet(f"{root}/chunks")
-    writer = chunks.writeStream.format("parquet").option("path", f"{root}/loaded")
-    drain(writer.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    tsv.write_chunks(t.orders.select(*fx.ORDERS.names), f"{root}/chunks", 50_000)
+    query = load_chunks(t.spark, f"{root}/chunks", fx.ORDERS.row_schema, f"{root}/loaded", f"{root}/checkpoint", at_once=16)
+    drain(query)
     loaded = t.spark.read.schema(fx.ORDERS.row_schema).parquet(f"{root}/loaded")
     return loaded.groupBy("o_orderstatus").agg(
         F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")
@@ -165,17 +197,25 @@ def backup_restore(t: Tables) -> DataFrame:
 
 @register(
     "reset_tables",
-    """SELECT 'customer' AS table_name, CAST(0 AS BIGINT) AS row_count, true AS clean
-    UNION ALL SELECT 'orders', count(*), count(*) = 0 FROM orders""",
+    """WITH c AS (SELECT 'customer' AS table_name, CAST(0 AS BIGINT) AS source_count, CAST(0 AS BIGINT) AS target_count
+    UNION ALL SELECT 'orders', count(*), 0 FROM orders)
+    SELECT *, source_count = 0 AND target_count = 0 AS clean FROM c
+    UNION ALL SELECT 'TOTAL', CAST(sum(source_count) AS BIGINT), CAST(sum(target_count) AS BIGINT), sum(source_count) = 0 FROM c""",
 )
 def reset_tables(t: Tables) -> DataFrame:
-    """Two stored tables, one of them reset."""
+    """Sources and targets of two tables; one source is not reset."""
     root = t.scratch("reset")
     frames = {"customer": t.customer, "orders": t.orders}
-    for name, rows in frames.items():
-        rows.write.parquet(f"{root}/{name}")
-    changelog.reset(t.spark, f"{root}/customer", t.customer.schema)
-    return clean_check({n: t.spark.read.schema(f.schema).parquet(f"{root}/{n}") for n, f in frames.items()})
+    for side in ("source", "target"):
+        for name, rows in frames.items():
+            rows.write.parquet(f"{root}/{side}/{name}")
+            if (side, name) != ("source", "orders"):
+                changelog.reset(t.spark, f"{root}/{side}/{name}", rows.schema)
+
+    def stored(side: str) -> dict[str, DataFrame]:
+        return {n: t.spark.read.schema(f.schema).parquet(f"{root}/{side}/{n}") for n, f in frames.items()}
+
+    return clean_check(stored("source"), stored("target"))
 
 
 _AS_TEXT = T.StructType([T.StructField(c, T.StringType()) for c in ("n_nationkey", "n_name", "n_regionkey")])

@@ -118,7 +118,7 @@ def lineitem_log(t: Tables) -> DataFrame:
     op = F.when(flag == "N", "c").when(flag == "A", "u").otherwise("d")
     gone = flag == "R"
     version = F.date_trunc("second", F.col("l_shipdate").cast("timestamp"))
-    return t.lineitem.select(
+    return spread(t.lineitem, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").select(
         "l_orderkey",
         F.col("l_linenumber").cast("bigint").alias("l_linenumber"),
         F.when(gone, 0).otherwise(F.col("l_partkey")).alias("l_partkey"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from changelake.functions import has_prefix
 from changelake.operators import audit
 from changelake.operators.reconcile import alerts, random_keys
 from changelake.operators.versions import active, latest, of_keys
@@ -139,7 +140,12 @@ def p95_approximate(t: Tables) -> DataFrame:
 
 @register("prefix_match", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'small%'")
 def prefix_match(t: Tables) -> DataFrame:
-    return t.part.filter(F.col("p_name").startswith("small")).select("p_partkey", "p_name")
+    return t.part.filter(has_prefix("p_name", "small")).select("p_partkey", "p_name")
+
+
+@register("prefix_match_ignoring_case", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE 'SMALL%'")
+def prefix_match_ignoring_case(t: Tables) -> DataFrame:
+    return t.part.filter(has_prefix("p_name", "SMALL", ignore_case=True)).select("p_partkey", "p_name")
 
 
 @register("key_list", fx.LINEITEM_CL + "SELECT l_orderkey, l_linenumber, is_deleted FROM latest WHERE l_orderkey IN (1, 5, 77, 140)")

@@ -104,10 +104,13 @@ def snapshot(t: Tables) -> DataFrame:
 @register(
     "count_check_prefix",
     f"""WITH {REPLICA} SELECT 'orders' AS table_name, (SELECT count(*) FROM orders WHERE o_orderpriority LIKE '1%') AS source_count,
-    (SELECT count(*) FROM replica WHERE o_orderpriority LIKE '1%') AS target_count, 'FAIL' AS result""",
+    (SELECT count(*) FROM replica WHERE o_orderpriority LIKE '1%') AS target_count, 'FAIL' AS result
+    UNION ALL SELECT 'customer', count(*), count(*), 'PASS' FROM customer WHERE c_mktsegment LIKE 'B%'""",
 )
 def count_check_prefix(t: Tables) -> DataFrame:
-    return rc.count_check({"orders": t.orders}, {"orders": replica(t)}, "o_orderpriority LIKE '1%'")
+    """Each table with a predicate of its own."""
+    sources, targets = {"orders": t.orders, "customer": t.customer}, {"orders": replica(t), "customer": t.customer}
+    return rc.count_check(sources, targets, {"orders": "o_orderpriority LIKE '1%'", "customer": "c_mktsegment LIKE 'B%'"})
 
 
 @register(

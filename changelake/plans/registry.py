@@ -41,15 +41,16 @@ class Tables:
         return scratch_dir(self.spark, name)
 
 
-def spread(rows: DataFrame) -> DataFrame:
+def spread(rows: DataFrame, *by: str) -> DataFrame:
     """Give every core some rows of an input that comes in fewer splits than there are cores.
 
-    For costly row-wise work on a small table. A table with enough splits is not shuffled.
+    For costly row-wise work or sorting on a small table. ``by`` names columns that tell
+    rows apart, all by default. A table with enough splits is not shuffled.
     """
     if rows.isStreaming:
         return rows
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, *rows.columns)
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, *(by or rows.columns))
 
 
 def register(name: str, sql: str | None = None):

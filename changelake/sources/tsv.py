@@ -13,6 +13,8 @@ from changelake.specs import TableSpec
 NULL_MARKER = "\\N"
 # Fixed value: rows of a load chunk.
 CHUNK_ROWS = 5_000_000
+# Fixed value: columns whose blanks read as null.
+BLANK_IS_NULL = {"title_akas": ("isOriginalTitle",)}
 
 
 def _lines(spark: SparkSession, path: str | Sequence[str], header: bool) -> DataFrame:
@@ -32,13 +34,15 @@ def read_tsv(
     header: bool = True,
     null_marker: str = NULL_MARKER,
     unescape: bool = False,
-    blank_is_null: Iterable[str] = (),
+    blank_is_null: Iterable[str] | None = None,
 ) -> DataFrame:
     """Source rows of ``spec``: list columns stay comma-joined text.
 
     The marker reads as null, a blank stays blank, and a number that does not parse
     reads as null. ``blank_is_null`` names columns where a blank is null too.
     """
+    if blank_is_null is None:
+        blank_is_null = BLANK_IS_NULL.get(spec.name, ())
     lines = _lines(spark, path, header)
     cells = F.split("line", "\t", -1)
     out = []
@@ -54,6 +58,15 @@ def read_tsv(
     return lines.select(*out)
 
 
+def file_name(spec: TableSpec, gzip: bool = False) -> str:
+    """``title_ratings`` is delivered as ``title.ratings.tsv`` or ``title.ratings.tsv.gz``."""
+    return spec.name.replace("_", ".") + ".tsv" + (".gz" if gzip else "")
+
+
+def read_tables(spark: SparkSession, folder: str, specs: dict[str, TableSpec], gzip: bool = False) -> dict[str, DataFrame]:
+    return {name: read_tsv(spark, f"{folder}/{file_name(spec, gzip)}", spec) for name, spec in specs.items()}
+
+
 def read_tsv_fast(spark: SparkSession, path: str | Sequence[str], spec: TableSpec, null_marker: str = NULL_MARKER) -> DataFrame:
     """Straight CSV read, for files without blanks: here a blank reads as null like the marker."""
     reader = spark.read.schema(spec.row_schema).option("sep", "\t").option("header", "true").option("quote", "")
@@ -108,6 +121,11 @@ def chunk_plan(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     )
 
 
+def write_chunks(rows: DataFrame, path: str, chunk_rows: int = CHUNK_ROWS) -> None:
+    """Files of at most ``chunk_rows`` rows, to be loaded a few at a time."""
+    rows.write.mode("errorifexists").option("maxRecordsPerFile", chunk_rows).parquet(path)
+
+
 def not_yet_loaded(targets: dict[str, DataFrame]) -> list[str]:
     """Tables without rows. One limit-1 probe per table."""
     return [name for name, rows in targets.items() if rows.isEmpty()]

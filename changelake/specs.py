@@ -17,6 +17,7 @@ KINDS = {
     "int64": (T.LongType(), T.LongType(), 0, None),
     "float32": (T.DoubleType(), T.FloatType(), 0.0, None),
     "float64": (T.DoubleType(), T.DoubleType(), 0.0, None),
+    "decimal3_1": (T.DoubleType(), T.DecimalType(3, 1), 0, None),
 }
 
 # Columns every changelog row carries after the table's own columns.

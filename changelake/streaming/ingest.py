@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from changelake.operators.envelope import decode
+from changelake.operators.envelope import decode, rejects
 from changelake.specs import TableSpec
 from changelake.sources.topic import topic_name
 
@@ -65,6 +65,22 @@ def ingest_tables(messages: DataFrame, specs: dict[str, TableSpec], root: str, p
     ]
 
 
+def keep_rejects(messages: DataFrame, spec: TableSpec, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Write the messages that do not decode, with a reason, next to the table's log."""
+    writer = rejects(messages, spec).writeStream.format("parquet").option("path", path)
+    writer = writer.option("checkpointLocation", checkpoint).queryName(f"rejects_{spec.name}")
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def load_chunks(
+    spark: SparkSession, chunks: str, schema: T.StructType, path: str, checkpoint: str, at_once: int = 1
+) -> StreamingQuery:
+    """Load chunk files ``at_once`` per commit; a restart goes on after the last committed ones."""
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", at_once).parquet(chunks)
+    writer = source.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
 def drain(query: StreamingQuery, timeout_s: int | None = None) -> bool:
     """Wait until a query has read everything there was at its start; false on time-out."""
     done = query.awaitTermination(timeout_s) if timeout_s else query.awaitTermination()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from changelake.operators.envelope import decode, decode_legacy, encode, parse_messages, rejects
-from changelake.specs import TITLE_TABLES
+from changelake.specs import TITLE_TABLES, table
 
 RATINGS, BASICS = TITLE_TABLES["title_ratings"], TITLE_TABLES["title_basics"]
 AKAS = TITLE_TABLES["title_akas"]
@@ -78,6 +78,12 @@ def test_overflow_policies(spark):
     assert negative.isAdult == 0
 
 
+def test_rating_may_stay_a_decimal(spark):
+    spec = table("t", "tconst:string averageRating:decimal3_1 numVotes:uint32", keys="tconst")
+    row = decode(messages(spark, change("c", after=rating("a", 9.1, 1)), change("d", before=rating("b", 1, 1))), spec).orderBy("tconst").collect()
+    assert [str(r.averageRating) for r in row] == ["9.1", "0.0"]
+
+
 def test_delete_takes_keys_from_before(spark):
     before = {"titleId": "t1", "ordering": 3, "title": "x", "types": "a,b"}
     row = decode(messages(spark, change("d", before=before)), AKAS).first()

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from changelake import session
-from changelake.functions import unescape_text
+from changelake.functions import has_prefix, unescape_text
 from changelake.operators import audit, querylog, reconcile
 from changelake.operators.envelope import decode
 from changelake.operators.versions import latest, moment
@@ -125,6 +125,23 @@ def test_tsv_reads_header_nulls_blanks(spark, tmp_path):
     assert tuple(rows[2])[:4] == ("t3", 3, "Spëcïål", None)
 
 
+def test_table_files(spark, tmp_path):
+    specs = {n: TITLE_TABLES[n] for n in ("title_ratings", "title_akas")}
+    (tmp_path / "title.ratings.tsv").write_text("tconst\taverageRating\tnumVotes\ncustom001\t9.9\t999999\ncustom002\t1.0\t1\n")
+    (tmp_path / "title.akas.tsv").write_text("h\nt1\t1\tx\t\\N\t\t\t\t\n")
+    frames = tsv.read_tables(spark, str(tmp_path), specs)
+    assert [tuple(r) for r in frames["title_ratings"].orderBy("tconst").collect()] == [("custom001", 9.9, 999999), ("custom002", 1.0, 1)]
+    row = frames["title_akas"].first()
+    assert (row.region, row.language, row.isOriginalTitle) == (None, "", None)
+
+
+def test_prefix_by_collation(spark):
+    rows = spark.createDataFrame([("Test1",), ("test2",), ("Çat",), ("çAt",)], "s string")
+    assert rows.filter(has_prefix("s", "test")).count() == 1
+    assert rows.filter(has_prefix("s", "test", ignore_case=True)).count() == 2
+    assert rows.filter(has_prefix("s", "ÇA", ignore_case=True)).count() == 2
+
+
 def test_unescape(spark):
     given = ["plain", r"a\tb", r"a\\tb", r"a\\\tb", r"x\\\\y", r"\q\n", "\u0001"]
     rows = spark.createDataFrame([(i, s) for i, s in enumerate(given)], "i int, s string")
