@@ -37,8 +37,8 @@ def latest(log: DataFrame, keys: Sequence[str], order: Sequence[str] = VERSION_O
 
     ``row_number() = 1`` is planned with a group limit on both sides of the shuffle: each
     map task sends at most one row per key, so a key holding a third of the log costs its
-    reducer one row per map task, not all its versions. Pass ``order`` with a leading
-    epoch column when logs with restarted offsets are combined.
+    reducer one row per map task, not all its versions. When logs with restarted
+    offsets are combined, pass ``order=("cdc_timestamp", "ingest_epoch", "offset")``.
     """
     newest_first = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     ranked = log.withColumn("_version_rank", F.row_number().over(newest_first))

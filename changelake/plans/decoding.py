@@ -8,7 +8,7 @@ from changelake.functions import join_list, narrow, split_list
 from changelake.operators.envelope import decode, decode_legacy, rejects
 from changelake.operators.versions import active_view
 from changelake.plans import fixtures as fx
-from changelake.plans.registry import Tables, register
+from changelake.plans.registry import Tables, as_doubles, register
 from changelake.specs import TITLE_TABLES
 from pyspark.sql import types as T
 
@@ -149,12 +149,12 @@ def narrow_wrap(t: Tables) -> DataFrame:
 
 @register(
     "narrow_null",
-    """SELECT CAST(CASE WHEN l_partkey < 256 THEN l_partkey END AS INTEGER) AS as_uint8, count(*) AS n
+    """SELECT CAST(CASE WHEN l_partkey < 256 THEN l_partkey END AS DOUBLE) AS as_uint8, count(*) AS n
     FROM lineitem GROUP BY 1""",
 )
 def narrow_null(t: Tables) -> DataFrame:
     fitted = narrow("l_partkey", 2**8, T.ShortType(), "null").alias("as_uint8")
-    return t.lineitem.groupBy(fitted).agg(F.count("*").alias("n"))
+    return as_doubles(t.lineitem.groupBy(fitted).agg(F.count("*").alias("n")), "as_uint8")
 
 
 # --- the seven title and name tables ---------------------------------------------------

@@ -12,7 +12,7 @@ from changelake.operators.envelope import resolve
 from changelake.operators.reconcile import clean_check
 from changelake.operators.versions import active, latest
 from changelake.plans import fixtures as fx
-from changelake.plans.registry import Tables, register
+from changelake.plans.registry import Tables, as_doubles, register
 from changelake.sources import changelog, tsv
 from changelake.specs import table
 from changelake.streaming.ingest import drain, load_chunks
@@ -49,7 +49,7 @@ SPOILED = table("customer", "c_custkey:int64 c_name:string c_acctbal:float64 c_m
     """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS c_name,
     CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal,
     CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_mktsegment END AS c_mktsegment,
-    CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_custkey % 3 END AS c_flag FROM customer""",
+    CAST(CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_custkey % 3 END AS DOUBLE) AS c_flag FROM customer""",
 )
 def tsv_null_clean(t: Tables) -> DataFrame:
     """Null markers, blanks and text in a number column; a blank flag reads as null."""
@@ -63,21 +63,26 @@ def tsv_null_clean(t: Tables) -> DataFrame:
     )
     path = t.scratch("spoiled-tsv")
     tsv.write_tsv(rows, path)
-    return tsv.read_tsv(t.spark, path, SPOILED, blank_is_null=["c_flag"])
+    return as_doubles(tsv.read_tsv(t.spark, path, SPOILED, blank_is_null=["c_flag"]), "c_flag")
+
+
+HAS_NULLS = ("numVotes", "endYear", "deathYear")
 
 
 def _register_title_load(name: str) -> None:
     spec = fx.TITLE_TABLES[name]
     given, select = fx.TITLE_SOURCES[name]
     sql_types = {"string": "VARCHAR", "list": "VARCHAR", "float32": "DOUBLE"}
-    own = ", ".join(f"CAST({c.name} AS {sql_types.get(c.kind, 'BIGINT')}) AS {c.name}" for c in spec.columns)
+    with_nulls = [n for n in spec.names if n in HAS_NULLS]
+    types = {c.name: "DOUBLE" if c.name in with_nulls else sql_types.get(c.kind, "BIGINT") for c in spec.columns}
+    own = ", ".join(f"CAST({n} AS {kind}) AS {n}" for n, kind in types.items())
 
     @register(f"load_{name}", f"SELECT {own} FROM ({select} FROM {given})")
     def loaded(t: Tables) -> DataFrame:
         """Source rows as a bulk file with null markers, loaded back."""
         path = t.scratch(f"{name}-tsv")
         tsv.write_tsv(t.spark.sql(select + " FROM {src}", src=t(given)).select(*spec.names), path)
-        return tsv.read_tsv(t.spark, path, spec)
+        return as_doubles(tsv.read_tsv(t.spark, path, spec), *with_nulls)
 
 
 for _name in fx.TITLE_TABLES:

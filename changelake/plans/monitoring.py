@@ -9,7 +9,7 @@ from changelake.operators import audit
 from changelake.operators.reconcile import alerts, random_keys
 from changelake.operators.versions import active, latest, of_keys
 from changelake.plans import fixtures as fx
-from changelake.plans.registry import Tables, register
+from changelake.plans.registry import Tables, as_doubles, register
 from changelake.streaming import lag
 
 SEVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -217,13 +217,13 @@ DAY_RULES = (("many errors", "error", 60.0), ("many errors, urgent", "error", 75
 
 @register(
     "alerts",
-    """WITH m AS (SELECT CAST(ts AS DATE) AS event_day, event_type AS metric, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY ALL)
+    """WITH m AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS event_day, event_type AS metric, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY ALL)
     SELECT event_day, metric, value, rule, threshold FROM m JOIN (VALUES ('many errors', 'error', 60.0::DOUBLE),
     ('many errors, urgent', 'error', 75.0::DOUBLE), ('busy', 'click', 70.0::DOUBLE)) r(rule, of_metric, threshold)
     ON metric = of_metric AND value > threshold""",
 )
 def alerts_per_day(t: Tables) -> DataFrame:
-    day = F.to_date("ts").alias("event_day")
+    day = F.to_date("ts").cast("string").alias("event_day")
     counts = t.events.groupBy(day, F.col("event_type").alias("metric")).agg(F.count("*").cast("double").alias("value"))
     return alerts(counts, DAY_RULES)
 
@@ -251,24 +251,27 @@ def lag_by_topic(t: Tables) -> DataFrame:
 
 
 _SAMPLES = """s AS (SELECT 't' || CAST(user_id % 3 AS VARCHAR) AS topic, date_trunc('hour', ts) AS sampled_at,
-  max(event_id) - min(event_id) AS lag, max(event_id) AS records FROM events GROUP BY ALL),
-series AS (SELECT topic, sampled_at, lag, records, lag - lag(lag) OVER w AS lag_change,
-  records - lag(records) OVER w AS record_change,
-  CAST((records - lag(records) OVER w) // (epoch(sampled_at) - epoch(lag(sampled_at) OVER w)) AS BIGINT) AS records_per_second,
+  max(event_id) - min(event_id) AS lag, max(event_id) * 100000 AS records FROM events GROUP BY ALL),
+series AS (SELECT topic, sampled_at, lag, records, CAST(lag - lag(lag) OVER w AS DOUBLE) AS lag_change,
+  CAST(records - lag(records) OVER w AS DOUBLE) AS record_change,
+  trunc((records - lag(records) OVER w) / (epoch(sampled_at) - epoch(lag(sampled_at) OVER w))) AS records_per_second,
   lag < 5 AS caught_up FROM s WINDOW w AS (PARTITION BY topic ORDER BY sampled_at))"""
 
 
+CHANGES = ("lag_change", "record_change", "records_per_second")
+
+
 def hourly_samples(t: Tables) -> DataFrame:
     topic = F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string")).alias("topic")
     last, first = F.max("event_id"), F.min("event_id")
     return t.events.groupBy(topic, F.date_trunc("hour", "ts").alias("sampled_at")).agg(
-        (last - first).alias("lag"), last.alias("records")
+        (last - first).alias("lag"), (last * 100000).alias("records")
     )
 
 
 @register("throughput_series", f"WITH {_SAMPLES} SELECT * FROM series")
 def throughput_series(t: Tables) -> DataFrame:
-    return lag.throughput_series(hourly_samples(t), threshold=5)
+    return as_doubles(lag.throughput_series(hourly_samples(t), threshold=5), *CHANGES)
 
 
 @register(
@@ -277,4 +280,4 @@ def throughput_series(t: Tables) -> DataFrame:
     WHERE x.topic = series.topic AND x.caught_up), TIMESTAMP '9999-01-01')""",
 )
 def until_caught_up(t: Tables) -> DataFrame:
-    return lag.until_caught_up(lag.throughput_series(hourly_samples(t), threshold=5))
+    return as_doubles(lag.until_caught_up(lag.throughput_series(hourly_samples(t), threshold=5)), *CHANGES)

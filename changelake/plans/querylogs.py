@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from changelake.operators import querylog as ql
-from changelake.plans.registry import Tables, register
+from changelake.plans.registry import Tables, as_doubles, register
 
 # Query texts, one per order by o_orderkey % 8.
 TEXTS = (
@@ -43,10 +43,10 @@ def query_log(t: Tables) -> DataFrame:
 
 @register(
     "classify_queries",
-    f"WITH {_LOG} SELECT o_orderkey, rule_id, CASE WHEN rule_id IS NULL THEN 10 ELSE 20 END AS target_group FROM r",
+    f"WITH {_LOG} SELECT o_orderkey, CAST(rule_id AS DOUBLE) AS rule_id, CASE WHEN rule_id IS NULL THEN 10 ELSE 20 END AS target_group FROM r",
 )
 def classify_queries(t: Tables) -> DataFrame:
-    return ql.classify(query_log(t)).select("o_orderkey", "rule_id", "target_group")
+    return as_doubles(ql.classify(query_log(t)).select("o_orderkey", "rule_id", "target_group"), "rule_id")
 
 
 @register(

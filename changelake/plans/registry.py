@@ -41,15 +41,19 @@ class Tables:
         return scratch_dir(self.spark, name)
 
 
+# A table of fewer splits than this is small: at 128 MB a split it has less than 8 GB.
+FEW_SPLITS = 64
+
+
 def spread(rows: DataFrame, *by: str) -> DataFrame:
-    """Give every core some rows of an input that comes in fewer splits than there are cores.
+    """Give every core some rows of a small input that comes in fewer splits than there are cores.
 
-    For costly row-wise work or sorting on a small table. ``by`` names columns that tell
-    rows apart, all by default. A table with enough splits is not shuffled.
+    For costly row-wise work or sorting. ``by`` names columns that tell rows apart, all by
+    default. A table with many splits is never shuffled for this.
     """
     if rows.isStreaming:
         return rows
-    cores = rows.sparkSession.sparkContext.defaultParallelism
+    cores = min(rows.sparkSession.sparkContext.defaultParallelism, FEW_SPLITS)
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, *(by or rows.columns))
 
 
@@ -84,5 +88,10 @@ def plain(frame: DataFrame) -> DataFrame:
     return frame.select(*out)
 
 
+def as_doubles(frame: DataFrame, *names: str) -> DataFrame:
+    """Whole numbers that may be null, as doubles: readers agree on the nulls of those."""
+    return frame.withColumns({n: F.col(n).cast("double") for n in names})
+
+
 def execute(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(REGISTRY[name].run(Tables(spark, sf_dir)))

@@ -51,6 +51,13 @@ def test_ties_late_events_and_replays(spark):
     assert state(v.latest(late.repartition(3, F.rand()), ["k"])) == {"a": (1.0, "u")}
 
 
+def test_epoch_orders_restarted_offsets(spark):
+    first = log_of(spark, ("a", 1.0, "u", "2024-01-01 00:00:00", 900)).withColumn("ingest_epoch", F.lit(1))
+    again = log_of(spark, ("a", 2.0, "u", "2024-01-01 00:00:00", 3)).withColumn("ingest_epoch", F.lit(2))
+    rows = v.latest(first.unionByName(again), ["k"], ("cdc_timestamp", "ingest_epoch", "offset"))
+    assert state(rows) == {"a": (2.0, "u")}
+
+
 def test_filter_before_dedup_would_be_wrong(spark):
     log = fx.lineitem_log(Tables(spark, SMALL))
     assert v.active(log, fx.LINEITEM.keys).count() == 3083
