@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from changelake.operators import querylog as ql
-from changelake.plans.registry import Tables, as_doubles, register
+from changelake.plans.registry import Tables, as_doubles, register, spread
 
 # Query texts, one per order by o_orderkey % 8.
 TEXTS = (
@@ -31,7 +31,7 @@ r AS (SELECT *, CASE WHEN regexp_matches(sql, '^SELECT.*\\b(COUNT|SUM|AVG|MIN|MA
 def query_log(t: Tables) -> DataFrame:
     kind = F.col("o_orderkey") % 8
     text = F.element_at(F.array(*[F.lit(s) for s in TEXTS]), (kind + 1).cast("int"))
-    return t.orders.select(
+    return spread(t.orders, "o_orderkey").select(
         "o_orderkey",
         F.concat(text, F.lit(" -- "), F.col("o_custkey").cast("string")).alias("sql"),
         kind.alias("query"),
