@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from changelake.llm import quality, toxicity
+from changelake.llm import decontam, neardup, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,3 +30,14 @@ def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.compression_bands(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_key")
