@@ -103,17 +103,17 @@ def without_boilerplate(docs: DataFrame, min_sites: int = 10) -> DataFrame:
 #: DuckDB twin of dedup_lines at its defaults.
 SQL = """
 WITH lines AS (
-  SELECT rowid_ AS r, doc_id, source, i AS at, l AS line
+  SELECT rowid_ AS r, doc_id, source, i AS place, l AS line
   FROM (SELECT rowid_, doc_id, source, ls, unnest(range(len(ls))) AS i, unnest(ls) AS l
         FROM (SELECT row_number() OVER () AS rowid_, doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
 ), spread AS (
   SELECT trim(line) AS line, min(doc_id) AS keeper FROM lines WHERE trim(line) <> ''
   GROUP BY trim(line) HAVING count(DISTINCT source) >= 10
 ), marked AS (
-  SELECT l.r, l.doc_id, l.at, l.line, s.line IS NOT NULL AND l.doc_id IS DISTINCT FROM s.keeper AS gone
+  SELECT l.r, l.doc_id, l.place, l.line, s.line IS NOT NULL AND l.doc_id IS DISTINCT FROM s.keeper AS gone
   FROM lines l LEFT JOIN spread s ON trim(l.line) = s.line AND trim(l.line) <> ''
 )
 SELECT any_value(doc_id) AS doc_id, count(*) FILTER (WHERE trim(line) <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
-  coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '') AS text
+  coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS text
 FROM marked GROUP BY r
 """
