@@ -21,6 +21,14 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether every larger end has one link and is nobody's smaller end."""
+    up = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    down = links.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    nodes = up.unionByName(down).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where("up > 1 or up > 0 and down > 0").isEmpty()
+
+
 def connected_classes(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label) for every node with a link; label is the smallest node of its class.
 
@@ -31,16 +39,8 @@ def connected_classes(links: DataFrame, a: str, b: str) -> DataFrame:
     ends = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"`{a}` is not null and `{b}` is not null")
     current = stored(ends.where("u != v").distinct(), "star")
 
-    def state(frame: DataFrame) -> tuple:
-        return tuple(frame.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint")), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-    before = state(current)
-    while before[0]:
+    while not _settled(current):
         current = stored(_small_star(stored(_large_star(current), "star-large")), "star")
-        after = state(current)
-        if after == before:
-            break
-        before = after
     return current.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
         current.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     )
