@@ -1,7 +1,6 @@
 """Benchmark decontamination: rare n-gram seeds propose passages, Smith-Waterman alignment scores them.
 
-Word n-grams of the test items that are rare in the corpus, compared with the other n-grams of the same item, are looked
-for in all documents. Around every hit a passage long enough for the whole item is aligned locally, word by word, with the
+Word n-grams of the test items that are rare in the corpus are looked for in all documents. Around every hit a passage long enough for the whole item is aligned locally, word by word, with the
 item, so that copies with changed, added or left-out words are found too.
 """
 
@@ -83,7 +82,7 @@ def contaminated(docs: DataFrame, items: DataFrame, s: Settings = Settings(), id
 
     Returns one row per pair found: doc_id, item_id, score (0 to 1; 1 is a whole copy) and text_key (md5 of the text, which tells the
     documents apart when ids are null or repeated). Case and punctuation do not count. Null texts count as empty and match
-    nothing, and so do items without words; items of equal text are all reported; a repeated document gives one row for each item.
+    nothing, and so do items without words; an item of fewer than `n` words is only found in a document of just these words; items of equal text are all reported; a repeated document gives one row for each item.
     Empty documents or items give an empty result. Extra columns are ignored. Documents are read whole, however long.
     """
     docs = narrowed(docs, doc_id=id_col, text=text_col).select(
@@ -124,7 +123,11 @@ def contaminated(docs: DataFrame, items: DataFrame, s: Settings = Settings(), id
 
 
 def _rare_seeds(docs: DataFrame, grams: DataFrame, s: Settings) -> DataFrame:
-    """(gram, item_key): the n-grams of each item that are no more frequent in the documents than its middle one."""
+    """(gram, item_key): the n-grams of each item that are rare in the documents.
+
+    Rare is what at most one document in a thousand holds (or ten), or what is no more than four times as frequent as the item's middle
+    n-gram: all n-grams of an item that was copied into a third of the documents are frequent, and then they are what tells it.
+    """
     table = _bit_table(grams)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +144,8 @@ def _rare_seeds(docs: DataFrame, grams: DataFrame, s: Settings) -> DataFrame:
     of_items = grams.select("gram", "item_key").distinct()
     known = stored(of_items.join(counted, "gram", "left").select("gram", "item_key", F.coalesce("df", F.lit(0)).alias("df")), "decontam-df")
     middle = known.groupBy("item_key").agg(F.expr("percentile_disc(0.5) within group (order by df)").alias("middle"))
-    return known.join(middle, "item_key").where("df <= middle").select("gram", "item_key")
+    usual = max(10, docs.count() // 1000)
+    return known.join(middle, "item_key").where(F.col("df") <= F.greatest(F.lit(usual), 4 * F.col("middle"))).select("gram", "item_key")
 
 
 def _passages(docs: DataFrame, table: np.ndarray, reach: int, s: Settings) -> DataFrame:
