@@ -46,6 +46,21 @@ def _batches(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def _finished(spark: SparkSession, path: str) -> int | None:
+    """Number of the last batch such that it and all before it carry the mark of a committed write."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def numbers(pattern: str, up: bool) -> set[int]:
+        found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{pattern}")) or []
+        names = [(f.getPath().getParent() if up else f.getPath()).getName() for f in found]
+        return {int(n.partition("=")[2]) for n in names if not n.startswith("batch=-")}
+
+    done, there = numbers("batch=*/_SUCCESS", True), numbers("batch=*", False)
+    sure = [n for n in done if not any(m <= n for m in there - done)]
+    return max(sure, default=None)
+
+
 def read_current(spark: SparkSession, path: str, spec: TableSpec, folded: int | None = None) -> DataFrame:
     """The current table. ``folded`` is the return value of the last ``fold_current``.
 
@@ -59,16 +74,19 @@ def read_current(spark: SparkSession, path: str, spec: TableSpec, folded: int |
 
 
 def fold_current(spark: SparkSession, path: str, spec: TableSpec, folded: int | None = None) -> int | None:
-    """Merge the batch folders written so far into one, next to them; the stream may go on.
+    """Merge the finished batch folders into one, next to them; the stream may go on.
+
+    Only folders whose write was committed count, up to the last before one under way.
 
     Returns the number of the last merged batch. Folders up to it can be deleted once no
     reader uses them. A fold that fails half-way changes no result; its folder is never
     written over.
     """
-    last = _batches(spark, path, spec).filter("batch >= 0").agg(F.max("batch")).first()[0]
+    last = _finished(spark, path)
     if last is None or last == folded:
         return folded
-    rows = read_current(spark, path, spec, folded) if folded is not None else _batches(spark, path, spec).drop("batch")
+    fresh = F.col("batch") >= 0 if folded is None else (F.col("batch") == -(folded + 1)) | (F.col("batch") > folded)
+    rows = _batches(spark, path, spec).filter(fresh & (F.col("batch") <= last)).drop("batch")
     merged = latest(rows, spec.keys).repartitionByRange(*spec.keys).sortWithinPartitions(*spec.keys)
     merged.write.mode("errorifexists").parquet(f"{path}/batch={-(last + 1)}")
     return last

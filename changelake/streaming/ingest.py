@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from changelake.operators.envelope import decode, rejects
@@ -20,15 +22,51 @@ def message_files(spark: SparkSession, path: str, schema: str, max_files: int |
     return reader.parquet(path)
 
 
-def drop_replayed(messages: DataFrame, delay: str = "1 hour", arrival: str = "timestamp") -> DataFrame:
-    """Each message once, also if it is delivered again within ``delay``.
+def _before(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
+    """Rows of the batch folders below ``batch_id``; only these folders are read."""
+    whole = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(whole).parquet(path).filter(F.col("batch") < batch_id)
+
+
+def keep_once(
+    messages: DataFrame, path: str, checkpoint: str, ids: Sequence[str] = EVENT_ID, ordered: bool = False, trigger: dict | None = None
+) -> StreamingQuery:
+    """Write each message once, however late it comes and however often it is delivered.
 
-    The watermark runs on the arrival time given by the broker, not on the commit time,
-    so a late change is not lost. Only the message id is kept as state, and only for the
-    delay. Longer replays are harmless without this: the latest version is picked by
-    version and offset.
+    There is no watermark: a message is left out only because its id was written before. Every
+    micro-batch goes to a folder of its own, which a repeated batch overwrites. By default its
+    ids are compared with all stored ones. ``ordered`` is for sources that deliver the offsets of a
+    partition in rising order, as a broker does: then it is enough to know the highest offset of each
+    partition, one row per partition kept beside the data, and nothing stored is read again.
     """
-    return messages.withWatermark(arrival, delay).dropDuplicatesWithinWatermark(list(EVENT_ID))
+    marks = f"{path.rstrip('/')}-marks"
+    source = list(ids)[:-1]
+    offset = list(ids)[-1]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new = batch.dropDuplicates(list(ids))
+        kinds = T.StructType([batch.schema[c] for c in ids])
+        if ordered:
+            seen = new.groupBy(*source).agg(F.max(offset).alias(offset))
+            if batch_id > 0:
+                known = _before(spark, marks, kinds, batch_id).filter(F.col("batch") == batch_id - 1).drop("batch")
+                new = new.join(known.withColumnRenamed(offset, "_mark"), source, "left").filter(F.coalesce(F.col(offset) > F.col("_mark"), F.lit(True))).drop("_mark")
+                seen = known.unionByName(seen).groupBy(*source).agg(F.max(offset).alias(offset))
+            new.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            seen.select(*ids).write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
+            return
+        if batch_id > 0:
+            new = new.join(_before(spark, path, kinds, batch_id).select(*ids), list(ids), "left_anti")
+        new.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    writer = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).queryName("keep_once")
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_once(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What ``keep_once`` has written."""
+    return spark.read.schema(schema).parquet(path)
 
 
 def ingest(
@@ -51,11 +89,23 @@ def ingest(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def ingest_tables(messages: DataFrame, specs: dict[str, TableSpec], root: str, prefix: str = "cdc.imdb", trigger: dict | None = None) -> list[StreamingQuery]:
-    """One pipeline and one checkpoint per table from a stream that holds all topics."""
+def ingest_tables(
+    messages: DataFrame | dict[str, DataFrame], specs: dict[str, TableSpec], root: str, prefix: str = "cdc.imdb", trigger: dict | None = None
+) -> list[StreamingQuery]:
+    """One pipeline and one checkpoint per table.
+
+    ``messages`` is one stream for each table, subscribed to its own topic, or one that holds all topics; of
+    that, each pipeline reads everything and keeps its topic.
+    """
+
+    def of_table(name: str, spec: TableSpec) -> DataFrame:
+        if isinstance(messages, dict):
+            return messages[name]
+        return messages.filter(messages["topic"] == topic_name(spec, prefix))
+
     return [
         ingest(
-            messages.filter(messages["topic"] == topic_name(spec, prefix)),
+            of_table(name, spec),
             spec,
             f"{root}/log/{name}",
             f"{root}/checkpoint/{name}",

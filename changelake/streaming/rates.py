@@ -2,40 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-RATE_SCHEMA = "minute timestamp, deletes bigint, inserts bigint, updates bigint, batch bigint"
+from changelake.operators.audit import op_rates
 
+RATE_SCHEMA = "minute timestamp, deletes bigint, inserts bigint, updates bigint, batch bigint"
 
-def op_rate_stream(log: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Tumbling one-minute counts. In append mode a minute appears once it can no longer change."""
-    op = F.col("cdc_operation")
-    counts = (
-        log.withWatermark("cdc_timestamp", delay)
-        .groupBy(F.window("cdc_timestamp", "1 minute").alias("w"))
-        .agg(
-            F.count_if(op == "d").alias("deletes"),
-            F.count_if(op == "c").alias("inserts"),
-            F.count_if(op == "u").alias("updates"),
-        )
-    )
-    return counts.select(F.col("w.start").alias("minute"), "deletes", "inserts", "updates")
 
+def maintain_rates(log: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Count the operations of every micro-batch by minute, into a folder of its own.
 
-def maintain_rates(log: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes", trigger: dict | None = None) -> StreamingQuery:
-    """Write the minutes each micro-batch changed; minutes still open are included."""
+    There is no state and no watermark: a change counts in its minute however late it comes. A repeated batch
+    overwrites its folder, so nothing counts twice.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        op_rates(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    writer = op_rate_stream(log, delay).writeStream.outputMode("update").foreachBatch(write)
-    writer = writer.option("checkpointLocation", checkpoint).queryName("op_rates")
+    writer = log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).queryName("op_rates")
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def read_rates(spark: SparkSession, path: str) -> DataFrame:
-    """Last written counts of each minute."""
-    newest = Window.partitionBy("minute").orderBy(F.col("batch").desc())
+    """Counts of each minute: the sum over the batches that held changes of it."""
     rows = spark.read.schema(RATE_SCHEMA).parquet(path)
-    return rows.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank", "batch")
+    return rows.groupBy("minute").agg(*[F.sum(c).alias(c) for c in ("deletes", "inserts", "updates")])
