@@ -10,6 +10,7 @@ from changelake.functions.scalars import (
     percent,
     split_list,
     start_of_minute,
+    time_in_range,
     truncated_close,
     unescape_text,
     version_time,
@@ -26,6 +27,7 @@ __all__ = [
     "percent",
     "split_list",
     "start_of_minute",
+    "time_in_range",
     "truncated_close",
     "unescape_text",
     "version_time",

@@ -38,7 +38,7 @@ def narrow(value: str | Column, modulus: int | None, stored: T.DataType, overflo
     """
     value = _col(value)
     if modulus is None:
-        return value.cast(stored)
+        return value.cast(stored) if overflow == "fail" else value.try_cast(stored)
     fits = (value >= 0) & (value < modulus)
     if overflow == "wrap":
         return F.pmod(value, F.lit(modulus)).cast(stored)
@@ -50,9 +50,19 @@ def narrow(value: str | Column, modulus: int | None, stored: T.DataType, overflo
     raise ValueError(f"unknown overflow policy {overflow!r}")
 
 
+#: Milliseconds since 1970 of the first and the last moment of the years 1 to 9999.
+FIRST_MS, LAST_MS = -62_135_596_800_000, 253_402_300_799_999
+
+
+def time_in_range(ts_ms: str | Column) -> Column:
+    """Whether a commit time is missing or lies in the years 1 to 9999."""
+    ts_ms = _col(ts_ms)
+    return ts_ms.isNull() | ts_ms.between(FIRST_MS, LAST_MS)
+
+
 def version_time(ts_ms: str | Column, precision: str = "s") -> Column:
-    """Commit time in epoch milliseconds to a timestamp, cut to seconds unless ``precision="ms"``."""
-    ms = F.coalesce(_col(ts_ms), F.lit(0).cast("bigint"))
+    """Commit time in epoch milliseconds to a timestamp, cut to seconds unless ``precision="ms"``. A time out of range counts as missing."""
+    ms = F.coalesce(F.when(time_in_range(ts_ms), _col(ts_ms)), F.lit(0)).cast("bigint")
     if precision == "ms":
         return F.timestamp_millis(ms)
     if precision == "s":
@@ -100,10 +110,11 @@ def percent(part: str | Column, total: str | Column) -> Column:
 
 
 def truncated_close(a: str | Column, b: str | Column) -> Column:
-    """Equal to about 0.01: hundredths, cut to whole numbers, differ by less than 2. Nulls match nulls."""
+    """Equal to about 0.01: hundredths, cut to whole numbers, differ by less than 2. Nulls match nulls, and NaN matches NaN."""
     a, b = _col(a), _col(b)
-    hundredths = [(c.cast("double") * 100).cast("bigint") for c in (a, b)]
-    close = F.abs(hundredths[0] - hundredths[1]) < 2
+    cells = [c.cast("double") for c in (a, b)]
+    hundredths = [c * 100 - (c * 100) % 1 for c in cells]
+    close = (cells[0] == cells[1]) | (F.abs(hundredths[0] - hundredths[1]) < 2)
     return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(close)
 
 

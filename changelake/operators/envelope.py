@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column as SqlColumn, DataFrame, functions as F, types as T
 
-from changelake.functions import empty_list, narrow, split_list, version_time, yyyymm
+from changelake.functions import empty_list, narrow, split_list, time_in_range, version_time, yyyymm
 from changelake.specs import Column, TableSpec
 
 # Operations accepted by the two decoders.
@@ -71,7 +71,8 @@ def resolve(
     """Envelope columns to changelog rows.
 
     With ``deletes`` a delete keeps its keys from the before image, blanks the other
-    columns and sets ``is_deleted``. Without it, deletes are dropped and there is no
+    columns and sets ``is_deleted``. A commit time outside the years 1 to 9999 is no version: such messages are
+    dropped and reported by ``rejects``. Without it, deletes are dropped and there is no
     ``is_deleted`` column. Only the first key column has to be non-empty.
     """
     if null_policy not in ("default", "keep"):
@@ -87,7 +88,7 @@ def resolve(
 
     first_key = spec.column(spec.keys[0])
     kept = envelopes.filter(op.isin(*(FULL_OPS if deletes else LEGACY_OPS))).filter(
-        _key_present(first_key, applies(first_key.name))
+        _key_present(first_key, applies(first_key.name)) & time_in_range("ts_ms")
     )
 
     own = []
@@ -130,6 +131,7 @@ def rejects(messages: DataFrame, spec: TableSpec, message: str = "value") -> Dat
         .when(op.isNull(), "malformed")
         .when(~op.isin(*FULL_OPS), "unknown operation")
         .when(~F.coalesce(_key_present(key, image), F.lit(False)), "blank key")
+        .when(~time_in_range("ts_ms"), "bad time")
     )
     parsed = parse_messages(messages, spec, message, keep_message=True, schema=spec.decode_schema)
     return parsed.select(*messages.columns, reason.alias("reason")).filter("reason IS NOT NULL")
