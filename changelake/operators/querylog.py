@@ -70,6 +70,14 @@ def recent_queries(log: DataFrame, n: int = 10, ts: str = "event_time", tie_brea
     return log.orderBy(F.col(ts).desc(), *tie_break).limit(n)
 
 
+def slow_queries(log: DataFrame, at_least: float, elapsed: str = "elapsed", ts: str = "event_time", since: str | SqlColumn | None = None) -> DataFrame:
+    """Queries that took ``at_least`` so long, newest first; ``since`` drops older ones."""
+    slow = F.col(elapsed) >= at_least
+    if since is not None:
+        slow = slow & (F.col(ts) >= (F.lit(since) if isinstance(since, str) else since))
+    return log.filter(slow).orderBy(F.col(ts).desc(), F.col(elapsed).desc())
+
+
 def response_time(log: DataFrame, p: float = 0.95, elapsed: str = "elapsed", by: Sequence[str] = (), exact: bool = False) -> DataFrame:
     return (exact_percentile if exact else percentile)(log, elapsed, p, by)
 

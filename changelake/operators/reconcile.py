@@ -20,7 +20,6 @@ ALERT_RULES = (
     ("scale on memory", "memory_percent", 80.0),
     ("scale on growth", "growth_gb_per_day", 10.0),
 )
-MAX_SAMPLE = 100_000
 
 
 Predicate = str | SqlColumn | dict[str, str | SqlColumn] | None
@@ -162,11 +161,11 @@ def random_keys(rows: DataFrame, keys: Sequence[str], n: int, seed: int | None =
 def sample_check(
     source: DataFrame, target: DataFrame, spec: TableSpec, n: int = 5, fields: Sequence[str] | None = None
 ) -> DataFrame:
-    """Field check of ``n`` random source keys. The sample is bounded, so it is broadcast."""
-    if not 0 < n <= MAX_SAMPLE:
-        raise ValueError(f"sample size must be 1..{MAX_SAMPLE}; use field_check for whole tables")
+    """Field check of ``n`` random source keys; adaptive execution broadcasts the keys if they turn out to be few."""
+    if n <= 0:
+        raise ValueError("sample size must be positive")
     pk = list(spec.source_pk)
-    picked = F.broadcast(random_keys(source, pk, n))
+    picked = random_keys(source, pk, n)
     return field_check(source.join(picked, pk, "left_semi"), target.join(picked, pk, "left_semi"), spec, fields)
 
 

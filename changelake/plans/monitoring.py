@@ -174,11 +174,11 @@ def current_lines(t: Tables) -> DataFrame:
 
 @register(
     "point_lookup",
-    fx.LINEITEM_CL + "SELECT l_orderkey, l_linenumber, l_quantity FROM latest WHERE is_deleted = 0 AND l_orderkey = 7 AND l_linenumber = 3",
+    fx.LINEITEM_CL + "SELECT l_orderkey, l_linenumber, l_quantity FROM latest WHERE is_deleted = 0 AND l_orderkey = 8 AND l_linenumber = 2",
 )
 def point_lookup(t: Tables) -> DataFrame:
     """One key; the filter reaches the file scan."""
-    rows = active(fx.lineitem_log(t), fx.LINEITEM.keys).filter("l_orderkey = 7 AND l_linenumber = 3")
+    rows = active(fx.lineitem_log(t), fx.LINEITEM.keys).filter("l_orderkey = 8 AND l_linenumber = 2")
     return rows.select("l_orderkey", "l_linenumber", "l_quantity")
 
 

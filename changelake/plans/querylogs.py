@@ -63,6 +63,14 @@ def recent_queries(t: Tables) -> DataFrame:
     return ql.recent_queries(query_log(t), 10, tie_break=["o_orderkey"]).select("o_orderkey", "sql", "elapsed", "event_time")
 
 
+@register(
+    "slow_queries",
+    f"WITH {_LOG} SELECT o_orderkey, sql, elapsed, event_time FROM q WHERE elapsed >= 250 AND event_time >= DATE '1996-01-01'",
+)
+def slow_queries(t: Tables) -> DataFrame:
+    return ql.slow_queries(query_log(t), 250, since=F.lit("1996-01-01").cast("date")).select("o_orderkey", "sql", "elapsed", "event_time")
+
+
 @register(
     "response_time_p95",
     f"WITH {_LOG} SELECT backend, round(quantile_cont(elapsed, 0.95), 6) AS percentile FROM q GROUP BY backend",

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column as SqlColumn, DataFrame, SparkSession, functions as F, types as T
 
 from changelake.functions import join_list, null_if, unescape_text
-from changelake.operators.reconcile import MAX_SAMPLE, random_keys
+from changelake.operators.reconcile import random_keys
 from changelake.specs import TableSpec
 
 NULL_MARKER = "\\N"
@@ -100,10 +100,10 @@ def first_rows(rows: DataFrame, n: int, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def stable_sample(rows: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    """The same ``n`` pseudo-random rows on every run. The picked keys are bounded, so they are broadcast."""
-    if not 0 < n <= MAX_SAMPLE:
-        raise ValueError(f"sample size must be 1..{MAX_SAMPLE}")
-    return rows.join(F.broadcast(random_keys(rows, keys, n)), list(keys), "left_semi")
+    """The same ``n`` pseudo-random rows on every run; adaptive execution broadcasts the keys if they turn out to be few."""
+    if n <= 0:
+        raise ValueError("sample size must be positive")
+    return rows.join(random_keys(rows, keys, n), list(keys), "left_semi")
 
 
 def chunk_plan(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

@@ -1,16 +1,18 @@
 """Audit, reconciliation, query log, files and streams on small inputs."""
 
 import gzip
+import os
 from datetime import datetime
+from decimal import Decimal
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from changelake import session
-from changelake.functions import has_prefix, unescape_text
+from changelake.functions import has_prefix, narrow, truncated_close, unescape_text, version_time
 from changelake.operators import audit, querylog, reconcile
-from changelake.operators.envelope import decode
+from changelake.operators.envelope import decode, rejects
 from changelake.operators.versions import latest, moment
 from changelake.plans import fixtures as fx
 from changelake.plans.querylogs import TEXTS
@@ -89,9 +91,14 @@ def test_default_alert_rules(spark):
     assert fired == [(201.0, "cpu alert"), (2e6, "lag alert"), (6e6, "lag alert"), (6e6, "scale on lag")]
 
 
-def test_sample_is_bounded(spark):
+def test_sample_of_any_size(spark):
+    """A sample may be as long as the table; only a size that is no size is refused."""
+    rows = spark.range(150_000).select(F.col("id").cast("string").alias("tconst"), F.lit(1.0).alias("averageRating"), F.lit(1).alias("numVotes"))
+    assert tsv.stable_sample(rows, ["tconst"], 120_000).count() == 120_000
     with pytest.raises(ValueError):
-        reconcile.sample_check(spark.range(1), spark.range(1), RATINGS, 10**9)
+        tsv.stable_sample(rows, ["tconst"], 0)
+    with pytest.raises(ValueError):
+        reconcile.sample_check(rows, rows, RATINGS, 0)
 
 
 # --- query log ---------------------------------------------------------------------------------
@@ -253,19 +260,70 @@ def test_stream_restart_and_late_batch(spark, tmp_path):
     assert current.fold_current(spark, f"{root}/cur", fx.EVENTS, folded) > folded
 
 
-def test_append_mode_rates_emit_closed_minutes(spark, tmp_path):
+def test_rates_count_late_changes(spark, tmp_path):
+    """Each later batch is older than the one before by more than any watermark would allow."""
     t = Tables(spark, SMALL)
     messages = fx.event_messages(t.events)
     source = str(tmp_path / "in")
-    messages.filter("offset < 500").coalesce(1).write.parquet(source)
-    messages.filter("offset >= 500").coalesce(1).write.mode("append").parquet(source)
-    log = decode(ingest.message_files(spark, source, messages.schema), fx.EVENTS)
-    writer = rates.op_rate_stream(log, "1 minute").writeStream.format("parquet").option("path", str(tmp_path / "out"))
-    ingest.drain(writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
-    closed = spark.read.parquet(str(tmp_path / "out"))
-    batch = audit.op_rates(decode(messages, fx.EVENTS))
-    assert closed.exceptAll(batch.select(*closed.columns)).isEmpty()
-    assert 0 < closed.count() < batch.count()
+    for low, high in ((700, 10**9), (300, 700), (0, 300)):
+        messages.filter((F.col("offset") >= low) & (F.col("offset") < high)).coalesce(1).write.mode("append").parquet(source)
+    log = decode(ingest.message_files(spark, source, messages.schema, max_files=1), fx.EVENTS)
+    ingest.drain(rates.maintain_rates(log, str(tmp_path / "out"), str(tmp_path / "cp")))
+    found = rates.read_rates(spark, str(tmp_path / "out"))
+    expected = audit.op_rates(decode(messages, fx.EVENTS)).select(*found.columns)
+    assert found.exceptAll(expected).isEmpty() and expected.exceptAll(found).isEmpty()
+
+
+def test_new_messages_of_a_late_partition_are_kept(spark, tmp_path):
+    schema = "topic string, partition int, offset long, timestamp timestamp, value string"
+    source = str(tmp_path / "in")
+    for partition, hour, offsets in ((0, 12, range(5)), (1, 5, range(5)), (0, 13, range(3, 8)), (1, 5, range(5))):
+        rows = [("t", partition, i, f"2024-01-01 {hour:02d}:00:00", "x") for i in offsets]
+        frame = spark.createDataFrame(rows, "topic string, partition int, offset long, timestamp string, value string")
+        frame.withColumn("timestamp", F.col("timestamp").cast("timestamp")).coalesce(1).write.mode("append").parquet(source)
+    for ordered in (False, True):
+        out, cp = str(tmp_path / f"out{ordered}"), str(tmp_path / f"cp{ordered}")
+        stream = ingest.message_files(spark, source, schema, max_files=1)
+        ingest.drain(ingest.keep_once(stream, out, cp, ordered=ordered))
+        found = [(r.partition, r.offset) for r in ingest.read_once(spark, out, stream.schema).collect()]
+        assert sorted(found) == [(0, i) for i in range(8)] + [(1, i) for i in range(5)]
+
+
+def test_fold_leaves_a_batch_under_way(spark, tmp_path):
+    """A folder without its mark of a committed write is not folded, so none of its later files is skipped."""
+    path = str(tmp_path / "cur")
+    log = decode(fx.event_messages(Tables(spark, SMALL).events), fx.EVENTS)
+    newest = latest(log, fx.EVENTS.keys)
+    newest.filter("user_id % 2 = 0").coalesce(1).write.parquet(f"{path}/batch=0")
+    newest.filter("user_id % 2 = 1").repartition(4).write.parquet(f"{path}/batch=1")
+    files = sorted(f for f in os.listdir(f"{path}/batch=1") if f.startswith("part-"))
+    for name in ["_SUCCESS", *files[1:]]:
+        os.rename(f"{path}/batch=1/{name}", str(tmp_path / name))
+    folded = current.fold_current(spark, path, fx.EVENTS)
+    assert folded == 0
+    for name in ["_SUCCESS", *files[1:]]:
+        os.rename(str(tmp_path / name), f"{path}/batch=1/{name}")
+    assert current.read_current(spark, path, fx.EVENTS, folded).count() == newest.count()
+    assert current.fold_current(spark, path, fx.EVENTS, folded) == 1
+
+
+def test_absurd_values_end_no_job(spark):
+    times = spark.createDataFrame([(0,), (1_700_000_000_000_000_000,), (None,), (-(2**63),)], "ts long")
+    found = [r[0] for r in times.select(version_time("ts").cast("long")).collect()]
+    assert found == [0, 0, 0, 0]
+    numbers = spark.createDataFrame(
+        [(1.0, 1.004), (float("nan"), float("nan")), (float("nan"), 1.0), (1e18, 1e18), (1e18, 2e18), (float("inf"), float("inf")), (None, None), (None, 1.0)], "a double, b double"
+    )
+    assert [r[0] for r in numbers.select(truncated_close("a", "b")).collect()] == [True, True, False, True, False, True, True, False]
+    cells = spark.createDataFrame([(123.4,), (12.3,)], "x double").select(narrow("x", None, T.DecimalType(3, 1), "null"))
+    assert [r[0] for r in cells.collect()] == [None, Decimal("12.3")]
+
+
+def test_messages_without_a_usable_time_are_rejected(spark):
+    good = fx.event_messages(Tables(spark, SMALL).events).limit(3)
+    bad = good.withColumn("value", F.regexp_replace(F.col("value").cast("string"), '"ts_ms":[0-9]+', '"ts_ms":1700000000000000000'))
+    assert decode(bad, fx.EVENTS).count() == 0
+    assert {r.reason for r in rejects(bad, fx.EVENTS).collect()} == {"bad time"}
 
 
 def test_lag_and_offsets(spark):
