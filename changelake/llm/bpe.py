@@ -26,7 +26,7 @@ from changelake.llm.texthash import slices
 #: Small maps that the ranks are dealt over.
 MAPS = 1 << 16
 #: Bytes of text that share one list of distinct words.
-BLOCK = 16 << 20
+BLOCK = 32 << 20
 #: No pair of these bytes is a token; above every rank.
 _NO_RANK = 2**31 - 1
 #: Words have fewer bytes than this.
@@ -99,9 +99,10 @@ def encode_word(text: Column, table: Column) -> Column:
         def changed(old: Column, k: Column) -> Column:
             alone = F.lit(_NO_RANK * _STARTS) + start_of(old)  # the last run has no pair
             with_next = F.when(F.size(state) > i + 2, code(start_of(old), F.coalesce(start(i + 3), end))).otherwise(alone)
-            return F.when(k == i, with_next).when(k == i - 1, code(start_of(old), third)).otherwise(old)
+            gone = F.lit(-1).cast("bigint")
+            return F.when(k > i + 1, old).when(k < i - 1, old).when(k == i, with_next).when(k == i + 1, gone).otherwise(code(start_of(old), third))
 
-        return F.filter(F.transform(state, changed), lambda _, k: k != i + 1)
+        return F.array_remove(F.transform(state, changed), F.lit(-1).cast("bigint"))
 
     def step(state: Column, _: Column) -> Column:
         # a fold over one element gives the position a name, so that it is found once
@@ -194,7 +195,7 @@ def decode(ids: Column, ranks: str) -> Column:
     for token, rank in read_ranks(ranks).items():
         pieces[rank] = token.hex()
     table = F.split(F.lit(",".join(pieces)), ",")
-    known = F.forall(ids, lambda i: (i >= 0) & (i < len(pieces)))
+    known = (F.size(ids) == 0) | ((F.array_min(ids) >= 0) & (F.array_max(ids) < len(pieces)))
     return F.when(known, F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")))
 
 
