@@ -42,6 +42,9 @@ class Settings:
     bands: int = 17
     rows: int = 6
     seed: int = 7
+    #: Weight of a shingle no other text has, over that of one all texts have, less 1. Common shingles of a large family of copies
+    #: are frequent for that reason; with a small spread these do not pull the similarity of its members below the threshold.
+    idf_spread: float = 0.25
 
 
 def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,7 +62,7 @@ def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def document_frequency(texts: DataFrame, s: Settings) -> np.ndarray:
-    """Inverse document frequency per hash bucket, between 1 and 2, over all rows of `texts` (one column, text).
+    """Inverse document frequency per hash bucket, between 1 and 1 + idf_spread, over all rows of `texts` (one column, text).
 
     A bucket counts the texts that hold any of its shingles, an upper bound of a shingle's own count that exceeds it by the
     mean number of shingles a text / DF_BUCKETS: shingles of widespread passages stand out, all others weigh much the same.
@@ -82,7 +85,7 @@ def document_frequency(texts: DataFrame, s: Settings) -> np.ndarray:
     size = float(n[buckets == -1].sum())
     df = np.zeros(DF_BUCKETS)
     df[buckets[buckets >= 0]] = n[buckets >= 0]
-    return (1 + np.log((1 + size) / (1 + np.minimum(df, size))) / np.log(2 + size)).astype(np.float32)
+    return (1 + s.idf_spread * np.log((1 + size) / (1 + np.minimum(df, size))) / np.log(2 + size)).astype(np.float32)
 
 
 class Sampler:
