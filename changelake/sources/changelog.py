@@ -1,7 +1,8 @@
-"""The stored changelog: parquet, one folder per month of the version."""
+"""The stored changelog: parquet, a folder for each statement or stream batch, in it one per month of the version."""
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import Column as SqlColumn, DataFrame, SparkSession, functions as F, types as T
@@ -33,12 +34,20 @@ def arranged(log: DataFrame, spec: TableSpec, layout: str = "range") -> DataFram
     raise ValueError(f"unknown layout {layout!r}")
 
 
+#: Column of the folders that statements and stream batches write to; each write has one of its own.
+LOG_PART = "log_part"
+
+
 def append_log(
-    log: DataFrame, path: str, spec: TableSpec, layout: str | None = "range", rows_per_file: int = 0, mode: str = "append"
+    log: DataFrame, path: str, spec: TableSpec, layout: str | None = "range", rows_per_file: int = 0, part: str | None = None
 ) -> None:
-    """Append to a stored log. Without a layout rows are written as they come."""
+    """Append to a stored log, also to one that a stream writes to. Without a layout rows are written as they come.
+
+    ``part`` names the write: a second one of the same name replaces the first, so a repeated stream batch adds nothing.
+    """
     rows = arranged(log, spec, layout) if layout else log
-    rows.write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy("yyyymm").parquet(path)
+    folder = f"{path.rstrip('/')}/{LOG_PART}={part or 'statement-' + uuid.uuid4().hex}"
+    rows.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("yyyymm").parquet(folder)
 
 
 def save_bucketed(rows: DataFrame, name: str, keys: tuple[str, ...], buckets: int) -> None:
@@ -52,12 +61,16 @@ def save_bucketed(rows: DataFrame, name: str, keys: tuple[str, ...], buckets: in
 
 
 def read_log(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
-    """Schema comes from the spec: no inference, and an empty log reads as empty."""
-    return spark.read.schema(spec.log_schema).parquet(path)
+    """All statements and finished stream batches. Schema comes from the spec: no inference, and an empty log reads as empty."""
+    schema = T.StructType([*spec.log_schema.fields, T.StructField(LOG_PART, T.StringType())])
+    return spark.read.schema(schema).parquet(path).drop(LOG_PART)
 
 
 def reset(spark: SparkSession, path: str, schema: T.StructType) -> None:
-    """Remove all rows and versions of a stored table; its folder stays readable."""
+    """Remove all rows and versions of a stored table; its folder stays readable.
+
+    A stream that writes to it may go on from its checkpoint: its next batch is the first content of the log.
+    """
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
 
 

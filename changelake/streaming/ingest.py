@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from changelake.operators.envelope import decode, rejects
 from changelake.specs import TableSpec
+from changelake.sources.changelog import append_log
 from changelake.sources.topic import topic_name
 
 EVENT_ID = ("topic", "partition", "offset")
@@ -76,16 +77,22 @@ def ingest(
     checkpoint: str,
     trigger: dict | None = None,
     message: str = "value",
+    layout: str | None = "month",
+    name: str = "stream",
     **policies,
 ) -> StreamingQuery:
     """Decode one table's messages and append them to its log. Late events are never dropped.
 
-    The file sink records finished batches in its own log and the checkpoint holds the
-    consumed offsets, so a restart neither loses nor repeats rows.
+    Every batch is written to a folder of its own, which a repeated batch replaces, and the checkpoint holds the consumed
+    offsets, so a restart neither loses nor repeats rows. Statements may be appended to the same log. Streams that share a log
+    need different names.
     """
     log = decode(messages, spec, message, **policies)
-    writer = log.writeStream.format("parquet").outputMode("append").partitionBy("yyyymm")
-    writer = writer.option("path", path).option("checkpointLocation", checkpoint).queryName(f"ingest_{spec.name}")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        append_log(batch, path, spec, layout, part=f"{name}-{batch_id}")
+
+    writer = log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).queryName(f"ingest_{spec.name}")
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
