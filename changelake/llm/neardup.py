@@ -5,11 +5,10 @@ probability of their weighted Jaccard similarity; bands of samples propose pairs
 on the whole texts. Verified links are closed into classes.
 
 How links are sought inside a band's bucket: every member is compared with one centre, the member that meets most texts in all
-its buckets, such as the original of many edited copies. Links of all bands are closed into classes. Members that are in no class of a
-centre of their bucket meet again, with four times as many centres, until the rest of every bucket is one class or nobody is left;
-in the second round their centres meet the settled members too. Texts that are in one class already are not compared. So a bucket
-of n near copies costs some n comparisons, not n * n; unlike texts that share a bucket are all compared with each other, but
-sharing all samples of a band is rare for those (0.25 ** 6 at a similarity of 0.25).
+its buckets, such as the original of many edited copies. Links of all bands are closed into classes. Then every two members of a
+bucket that are in different classes are compared, in blocks of both sides, settled or not: the members outside the bucket's largest
+class meet all members. Each pair is compared in the first band it shares only. After that every pair that shares a bucket was
+compared or is in one class. So a bucket of n copies of one text costs n comparisons, and m members outside its largest class cost m * n.
 """
 
 from __future__ import annotations
@@ -30,6 +29,9 @@ from changelake.llm.texthash import Words, mix, slices, windows
 DF_BUCKETS = 1 << 18
 #: Rows of the table of random numbers that a shingle's hash picks from.
 RANDOM_ROWS = 1 << 14
+#: Members of a bucket on one side of a block, and bytes of their texts; a longer text comes alone or with few others.
+BLOCK_MEMBERS = 512
+BLOCK_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -88,6 +90,17 @@ def document_frequency(texts: DataFrame, s: Settings) -> np.ndarray:
     return (1 + s.idf_spread * np.log((1 + size) / (1 + np.minimum(df, size))) / np.log(2 + size)).astype(np.float32)
 
 
+@dataclass(frozen=True)
+class Side:
+    """Members of a bucket; key and label are arrays of bytes, bands one row a member, rest: not in the bucket's largest class."""
+
+    key: np.ndarray
+    label: np.ndarray
+    rest: np.ndarray
+    bands: np.ndarray
+    texts: pa.Array
+
+
 class Sampler:
     """Improved consistent weighted sampling; the random numbers of a shingle are a row of fixed tables, picked by its hash."""
 
@@ -135,6 +148,40 @@ class Sampler:
             out = mix(out * np.uint64(31) + samples[:, j :: s.rows])
         return out
 
+    def links(self, band: int, left: Side, right: Side) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of similar texts in different classes, one for each text on the left and class on the right.
+
+        A pair that shares an earlier band too is left to that; of two texts that stand on both sides one order is enough.
+        """
+        open_ = left.label[:, None] != right.label[None, :]
+        open_ &= ~right.rest[None, :] | (left.key[:, None] < right.key[None, :])
+        for j in range(band):
+            open_ &= left.bands[:, None, j] != right.bands[None, :, j]
+        doc, found, times = shingles(right.texts, self.s.words)
+        names, at = np.unique(found, return_inverse=True)
+        w = self.weights(found, times)
+        total = np.bincount(doc, w, len(right.texts))
+        doc_l, found_l, times_l = shingles(left.texts, self.s.words)
+        w_l = self.weights(found_l, times_l)
+        cuts = np.searchsorted(doc_l, np.arange(len(left.texts) + 1))
+        place = np.searchsorted(names, found_l)
+        known = place < len(names)
+        known[known] = names[place[known]] == found_l[known]
+        mine = np.zeros(len(names))
+        rows, others = [], []
+        for i in np.flatnonzero(open_.any(axis=1)):
+            part = slice(cuts[i], cuts[i + 1])
+            here = place[part][known[part]]
+            mine[here] = w_l[part][known[part]]
+            both = np.bincount(doc, np.minimum(mine[at], w), len(right.texts))
+            mine[here] = 0
+            either = w_l[part].sum() + total - both
+            hits = np.flatnonzero(open_[i] & (both >= self.s.threshold * either))
+            hits = hits[np.unique(right.label[hits], return_index=True)[1]]
+            rows.append(np.full(len(hits), i))
+            others.append(hits)
+        return (np.concatenate(rows), np.concatenate(others)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
     def similarity(self, one: pa.Array, other: pa.Array) -> np.ndarray:
         """Weighted Jaccard similarity of the texts in the same row of both columns."""
         n = len(one)
@@ -199,9 +246,9 @@ def similar_texts(keyed: DataFrame, s: Settings) -> DataFrame:
     members = stored(members.join(stored(shared, "neardup-shared"), ["band", "value"]), "neardup-met")
     # how many others a text meets: the original of many edited copies meets more of them than each of these
     popular = stored(members.groupBy("key").agg(F.sum("n").alias("popular")), "neardup-popular")
+    texts = stored(keyed.groupBy("key").agg(F.min("text").alias("text")).join(popular.select("key"), "key", "left_semi"), "neardup-texts")
+    popular = stored(popular.join(texts.select("key", F.octet_length("text").alias("bytes")), "key"), "neardup-sizes")
     everyone = stored(members.select("band", "value", "key").join(popular, "key"), "neardup-members")
-    wanted = popular.select("key")
-    texts = stored(keyed.groupBy("key").agg(F.min("text").alias("text")).join(wanted, "key", "left_semi"), "neardup-texts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,40 +257,60 @@ def similar_texts(keyed: DataFrame, s: Settings) -> DataFrame:
                 similar = sampler.similarity(part.column(2), part.column(3)) >= s.threshold
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(similar)], names=["a", "b", "similar"])
 
-    members = everyone.withColumn("label", F.col("key"))
-    done: DataFrame | None = None
-    slots = 1
-    while True:
-        spread = F.pmod(F.xxhash64("key", "band", "value", F.lit(slots)), F.lit(slots))
-        centres = members.groupBy("band", "value", spread.alias("slot")).agg(
-            F.max_by(F.struct("key", "label"), F.struct("popular", F.xxhash64("key", "band", F.lit(slots)))).alias("c")
-        )
-        centres = stored(centres.select("band", "value", F.col("c.key").alias("centre"), F.col("c.label").alias("centre_label")), "neardup-centres")
-        # once, those left over also meet the members that are settled: these may be similar to them, though their centre is not
-        present = members if slots != 4 else stored(_labels(everyone, classes), "neardup-now")
-        met = present.join(centres, ["band", "value"]).where("label != centre_label")
-        pairs = met.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        with_texts = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(
-            texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b"
-        )
-        found = stored(arrow_map(with_texts.select("a", "b", "text_a", "text_b"), compare, "a binary, b binary, similar boolean"), "neardup-pairs")
-        done = found if done is None else done.unionByName(found)
-        classes = stored(connected_classes(done.where("similar"), "a", "b"), "neardup-classes")
-        # who is in no class of a centre of its bucket meets the others like it there again
-        now = stored(_labels(members.drop("label"), classes), "neardup-now")
-        settled = centres.select("band", "value", F.col("centre").alias("key")).join(now, ["band", "value", "key"]).select("band", "value", "label").distinct()
-        left = stored(now.join(settled, ["band", "value", "label"], "left_anti"), "neardup-left")
-        again = left.groupBy("band", "value").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one != other").select("band", "value")
-        members = stored(left.join(again, ["band", "value"]), "neardup-members")
-        if members.isEmpty():
-            return classes
-        slots *= 4
+    centres = everyone.groupBy("band", "value").agg(F.max_by("key", F.struct("popular", F.xxhash64("key", "band"))).alias("centre"))
+    met = everyone.join(stored(centres, "neardup-centres"), ["band", "value"]).where("key != centre")
+    pairs = met.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
+    with_texts = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(
+        texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b"
+    )
+    found = arrow_map(with_texts.select("a", "b", "text_a", "text_b"), compare, "a binary, b binary, similar boolean")
+    links = stored(found.where("similar").select("a", "b"), "neardup-pairs")
+    classes = stored(connected_classes(links, "a", "b"), "neardup-classes")
+
+    def compare_block(block: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        sides = []
+        for part in (table.filter(table.column("on_left")), table.filter(pc.invert(table.column("on_left")))):
+            part = part.combine_chunks()
+            binary = lambda c: np.array(part.column(c).to_pylist(), dtype=object)  # noqa: B023, E731
+            bands = np.array(part.column("bands").to_pylist(), np.int64).reshape(len(part), s.bands)
+            sides.append(Side(binary("key"), binary("label"), part.column("rest").to_numpy(), bands, pa.array(part.column("text").to_pylist(), pa.string())))
+        left, right = sides
+        rows, others = sampler.links(block[0].as_py(), left, right) if len(left.key) and len(right.key) else ([], [])
+        return pa.table({"a": pa.array(left.key[rows] if len(rows) else [], pa.binary()), "b": pa.array(right.key[others] if len(rows) else [], pa.binary())})
+
+    blocks = _blocks(stored(_labels(everyone, classes), "neardup-now"))
+    wanted = blocks.join(texts.join(signed, "key"), "key").select("band", "value", "row", "col", "on_left", "rest", "key", "label", "bands", "text")
+    more = stored(wanted.groupBy("band", "value", "row", "col").applyInArrow(compare_block, "a binary, b binary"), "neardup-links")
+    if more.isEmpty():
+        return classes
+    return stored(connected_classes(links.unionByName(more), "a", "b"), "neardup-classes")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members of each block of comparisons (band, value, row, col, on_left, rest, key, label), of buckets with more than one class.
+
+    On the left stand the members outside the largest class of their bucket, on the right all; a row meets every column.
+    """
+    size = (F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    kinds = stored(members.groupBy("band", "value", "label").agg(*size), "neardup-kinds")
+    buckets = kinds.groupBy("band", "value").agg(
+        F.count("*").alias("kinds"), F.max(F.struct("n", "label", "bytes")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")
+    )
+    many = lambda n, size: F.ceil(F.greatest(n / BLOCK_MEMBERS, size / BLOCK_BYTES, F.lit(1)))
+    buckets = buckets.where("kinds > 1").select(
+        "band", "value", F.col("main.label").alias("main"),
+        many(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("rows"), many(F.col("n"), F.col("bytes")).alias("cols"),
+    )
+    met = stored(members.join(stored(buckets, "neardup-open"), ["band", "value"]).withColumn("rest", F.col("label") != F.col("main")), "neardup-left")
+    row, col = (F.pmod(F.xxhash64("key", F.lit(c)), c) for c in ("rows", "cols"))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    left = met.where("rest").select("band", "value", row.alias("row"), every("cols").alias("col"), F.lit(True).alias("on_left"), "rest", "key", "label")
+    right = met.select("band", "value", every("rows").alias("row"), col.alias("col"), F.lit(False).alias("on_left"), "rest", "key", "label")
+    return left.unionByName(right)
 
 
 def _labels(members: DataFrame, classes: DataFrame) -> DataFrame:
-    return members.join(classes, F.col("key") == F.col("node"), "left").select("band", "value", "key", "popular", F.coalesce("label", "key").alias("label"))
+    return members.join(classes, F.col("key") == F.col("node"), "left").select("band", "value", "key", "bytes", F.coalesce("label", "key").alias("label"))
 
 
 def one_of_each(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -72,6 +72,41 @@ def test_large_group_needs_no_pairs(make_docs):
     assert Counter(r.class_id for r in got).most_common(1)[0][1] >= 150
 
 
+def test_second_hand_copies_of_a_hub_against_brute_force(make_docs):
+    rng = random.Random(10)
+    texts = []
+    for _ in range(40):
+        base = words(rng, 220)
+        first_hand = [edited(rng, base, 1) for _ in range(6)]
+        texts += [" ".join(x) for x in [base, *first_hand, edited(rng, first_hand[0], 4)]]
+    rows = list(enumerate(texts))
+    s = neardup.Settings()
+    sampler = neardup.Sampler(neardup.document_frequency(make_docs(*rows).select("text"), s), s)
+    truth = {i: i for i, _ in rows}
+    second_hand = 0
+    for at in range(0, len(texts), 8):
+        pairs = [(i, j) for i in range(at, at + 8) for j in range(i) if j >= at]
+        similar = sampler.similarity(pa.array([texts[i] for i, _ in pairs]), pa.array([texts[j] for _, j in pairs])) >= s.threshold
+        links = [p for p, x in zip(pairs, similar) if x]
+        second_hand += (at + 7, at + 1) in links and (at + 7, at) not in links
+        for i, j in links * 8:
+            truth[i] = truth[j] = min(truth[i], truth[j])
+    assert second_hand > 20
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(make_docs(*rows)).collect()}
+    assert got == truth
+
+
+def test_blocks_hold_every_pair_of_different_classes(monkeypatch, spark):
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 3)
+    labels = [i % 4 if i < 12 else i for i in range(20)] + [0] * 10
+    members = spark.createDataFrame([(0, 1, bytes([i]), 10, bytes([x])) for i, x in enumerate(labels)] + [(1, 1, b"a", 10, b"a"), (1, 1, b"b", 10, b"a")],
+                                    "band int, value long, key binary, bytes int, label binary")
+    blocks = neardup._blocks(members).collect()
+    assert {r.band for r in blocks} == {0}
+    met = {(a.key, b.key) for a in blocks if a.on_left for b in blocks if not b.on_left and (a.row, a.col) == (b.row, b.col)}
+    assert all((bytes([i]), bytes([j])) in met or (bytes([j]), bytes([i])) in met for i, x in enumerate(labels) for j, y in enumerate(labels) if x != y)
+
+
 def test_odd_rows(make_docs):
     rows = [(1, None), (2, ""), (3, "  \n"), (4, "one two"), (5, "One TWO"), (None, "one two"), (7, "x y z " * 30000), (8, "x y z " * 30000), (8, "x y z " * 30000)]
     got = Counter((r.doc_id, r.class_id) for r in neardup.near_duplicates(make_docs(*rows)).collect())
