@@ -2,7 +2,8 @@
 
 A page is read as a sequence of words and tags. Words score by the elements around them, positive as a rule and negative inside
 elements that hold no content; tags score negative. One linear scan finds the contiguous region of largest total. All weights are
-counted on the labelled pages below.
+counted on the labelled pages below. An element that marks content, and an article or main, around most words of that region widen it to
+their edges; nothing the scan found is cut.
 """
 
 from __future__ import annotations
@@ -242,25 +243,30 @@ def main_text(page: str, w: Weights | None = None) -> str:
             total, begin = 0.0, i + 1
         elif total > best:
             best, first, last = total, begin, i + 1
-    frame = _frame(items, elements, first, last, w)
-    if frame is not None:
-        first, last = frame.begin, frame.stop
+    for frame in _frames(items, elements, first, last, w):
+        first, last = min(first, frame.begin), max(last, frame.stop)
     out = ["" if element.bad < 0 or kind in ("tag", "comment") else " " if kind == "break" else text for kind, text, element in items[first:last]]
     return " ".join("".join(out).split())
 
 
-def _frame(items: list, elements: list[Element], first: int, last: int, w: Weights) -> Element | None:
-    """The smallest element that marks content and holds most of the region's words; it gives the region its edges."""
+def _frames(items: list, elements: list[Element], first: int, last: int, w: Weights) -> list[Element]:
+    """The smallest element that marks content, and the smallest article or main, that hold most of the region's words; they only widen it."""
     before = [0]  # words of the region before each item
     for i, (kind, text, e) in enumerate(items):
         before.append(before[-1] + (len(text.split()) if kind == "text" and e.bad == 0.0 and first <= i < last else 0))
-    found = None
+    marked = outer = None
     for e in elements:
-        marks = e.tag in ("article", "main") or e.tag not in INLINE | {"h1", "p"} and any(w.feature.get(f".{x}", 0.0) > _GOOD for x in e.names)
-        if e.bad == 0.0 and marks and e.tag not in _WHOLE and 2 * (before[e.stop] - before[e.begin]) > before[-1]:
-            if found is None or e.stop - e.begin <= found.stop - found.begin:
-                found = e
-    return found
+        if e.bad == 0.0 and _marks(e, w) and 2 * (before[e.stop] - before[e.begin]) > before[-1]:
+            if marked is None or e.stop - e.begin <= marked.stop - marked.begin:
+                marked = e
+            if e.tag in ("article", "main") and (outer is None or e.stop - e.begin <= outer.stop - outer.begin):
+                outer = e
+    return [e for e in (marked, outer) if e is not None]
+
+
+def _marks(e: Element, w: Weights) -> bool:
+    """Whether an element says that it holds content."""
+    return e.tag in ("article", "main") or e.tag not in INLINE | {"h1", "p"} | _WHOLE and any(w.feature.get(f".{x}", 0.0) > _GOOD for x in e.names)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

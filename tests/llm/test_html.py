@@ -20,6 +20,14 @@ def test_other_frames_and_inner_boilerplate():
         assert main_text(page) == "Title Hello world & all you. More text here with many words in it. one two", frame
 
 
+def test_frames_only_widen_the_region():
+    words = lambda x, n: " ".join(f"{x}{i}" for i in range(n))
+    assert main_text(f"<article><h1>Title</h1><div class='article-body'><p>{words('a', 50)}</p></div></article>{SIDE}") == f"Title {words('a', 50)}"
+    for name in ("entry-content", "content", "text"):
+        page = f"<nav><a>menu</a></nav><div><div class='{name}'><p>{words('a', 60)}</p></div><div class='{name}'><p>{words('b', 40)}</p></div></div>{SIDE}"
+        assert main_text(page) == f"{words('a', 60)} {words('b', 40)}", name
+
+
 def test_plain_input():
     assert main_text("<p>just a para</p>") == "just a para"
     assert main_text("plain text, 1 < 2 &lt;b&gt;") == "plain text, 1 < 2 <b>"
