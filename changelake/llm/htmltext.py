@@ -23,7 +23,9 @@ from changelake.llm.common import arrow_map, narrowed
 from changelake.llm.texthash import slices
 
 #: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template textarea title iframe svg math canvas object select option head".split())
+RAW = frozenset("script style noscript template textarea title iframe svg math canvas object select".split())
+#: Elements that may stand in a head; any other tag, and text, ends one that is not closed.
+HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that stay in the line; all others, and br and hr, part blocks.
 INLINE = frozenset(
@@ -42,6 +44,8 @@ _PART = re.compile(
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: A class that starts with one of these tells a state of the page, such as no-sidebar or has-menu, not what the element is.
+_STATE = frozenset("no not non has have with without is hide hidden show enable enabled disable disabled".split())
 
 #: Labelled pages: what stands between the two comments is content, all other text is not.
 LABELLED = (
@@ -84,22 +88,30 @@ class Element:
 
 def _names(attributes: str) -> tuple[str, ...]:
     """Parts of the class, id and role of a tag, in lower case."""
-    return tuple(
-        part.lower() for _, *values in _ATTRIBUTE.findall(attributes) for part in _NAME_PART.findall(next((v for v in values if v), ""))
-    ) if attributes and "=" in attributes else ()
+    if not attributes or "=" not in attributes:
+        return ()
+    names = [
+        [part.lower() for part in _NAME_PART.findall(word)]
+        for _, *values in _ATTRIBUTE.findall(attributes) for word in next((v for v in values if v), "").split()
+    ]
+    return tuple(part for parts in names if len(parts) < 2 or parts[0] not in _STATE for part in parts)
 
 
 def read(page: str) -> tuple[list, list[Element]]:
     """The page as a list of items and its elements.
 
     Items: ("word piece", text, element), ("tag", name, element), ("break", "", element) and ("comment", text, element).
-    Raw elements, declarations and a tag cut off by the end give nothing.
+    Raw elements, the head, options, declarations and a tag cut off by the end give nothing. A script or style that is not closed takes
+    the rest of the page; other raw elements that are not closed are read like any tag, a title up to the next one. A head ends at the first
+    tag or text that cannot stand in it, an option at the first tag that is not in the line.
     """
     items: list[tuple[str, str, Element]] = []
     top = Element("", (), 0)
     elements, stack = [top], [top]
     open_tags: Counter[str] = Counter()
     at, size = 0, len(page)
+    in_head = False
+    unclosed: set[str] = set()  # raw elements without another end tag
 
     def close(to: int) -> None:
         while len(stack) > to:
@@ -120,11 +132,21 @@ def read(page: str) -> tuple[list, list[Element]]:
             if text.startswith("<!--"):
                 items.append(("comment", text, stack[-1]))
             elif not text.startswith(("<!", "<?")):
+                if in_head and not text.strip():
+                    continue
+                in_head = False
                 items.append(("text", html.unescape(text), stack[-1]))
             continue
         if not m.group(4):
             break  # cut off by the end of the page
         name = name.lower()
+        if in_head:
+            in_head = not m.group(1) and name in HEAD or bool(m.group(1)) and name in HEAD - {"html", "head"}
+            if name in HEAD - RAW or m.group(1) and in_head:
+                continue
+        elif name == "head":
+            in_head = not m.group(1)
+            continue
         if name not in INLINE:
             items.append(("break", "", stack[-1]))
         if m.group(1):
@@ -136,8 +158,22 @@ def read(page: str) -> tuple[list, list[Element]]:
         if name in RAW:
             if m.group(3).endswith("/") and name not in ("script", "style", "title", "textarea"):
                 continue
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
+            end = None if name in unclosed else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            if end is not None or name in ("script", "style"):
+                at = end.end() if end else size
+                continue
+            unclosed.add(name)
+            if name == "title":
+                at = size if (tag := page.find("<", at)) < 0 else tag
+                continue
+        if name == "option":
+            while at < size and (part := _PART.match(page, at)):
+                inner, ends = (part.group(2) or "").lower(), bool(part.group(1))
+                if inner and inner not in INLINE and not (ends and inner == "option"):
+                    break
+                at = part.end()
+                if inner == "option":
+                    break
             continue
         if name in CLOSES_P:
             place = nearest("p")
@@ -213,30 +249,43 @@ _BAD, _GOOD = -1.0, 0.5
 _WHOLE = frozenset(("", "html", "body"))
 
 
-def _judge(elements: list[Element], w: Weights) -> None:
-    """Set `bad` of every element: the score of a word in it if that is negative, else 0; it holds for all inside."""
+def _judge(items: list, elements: list[Element], w: Weights) -> None:
+    """Set `bad` of every element: the score of a word in it if that is negative, else 0; it holds for all inside.
+
+    What is bad by itself still counts as good if it holds the core: the article or main of most words, or else the element of most
+    words that a name marks as content. Where there is no core, or one without a tenth of the page's words that is no article or main, this
+    goes for a form, and for what is bad by name only, that holds most of the page's words.
+    """
+    before = [0]
+    for kind, text, _ in items:
+        before.append(before[-1] + (len(text.split()) if kind == "text" else 0))
+    tags, names = [], []
     for e in elements:
-        if e.tag in _WHOLE:
-            e.bad = 0.0
-            continue
-        names = [w.feature[f".{x}"] for x in e.names if f".{x}" in w.feature] if e.tag not in ("article", "main") else []
-        lowest = min([w.feature.get(f"<{e.tag}>", 0.0) if e.tag not in ("div", "section", "ul", "li", "a", "p", "label", "h2") else 0.0, *names])
-        own = lowest if lowest < _BAD else 0.0
-        e.bad = min(own, e.parent.bad if e.parent else 0.0)
+        e.words = before[e.stop] - before[e.begin]
+        tag = w.feature.get(f"<{e.tag}>", 0.0) if e.tag not in _WHOLE | {"div", "section", "ul", "li", "a", "p", "label", "h2"} else 0.0
+        named = min([w.feature[f".{x}"] for x in e.names if f".{x}" in w.feature], default=0.0) if e.tag not in _WHOLE | {"article", "main"} else 0.0
+        tags.append(tag if tag < _BAD else 0.0)
+        names.append(named if named < _BAD else 0.0)
+    marked = [e for e, tag, name in zip(elements, tags, names) if e.words and not tag and not name and _marks(e, w)]
+    core = max(marked, key=lambda e: (e.tag in ("article", "main"), e.words), default=None)
+    sure = core is not None and (core.tag in ("article", "main") or 10 * core.words >= before[-1])
+    for e, tag, name in zip(elements, tags, names):
+        holds = core is not None and e.begin <= core.begin and core.stop <= e.stop
+        most = not sure and 2 * e.words > before[-1] and (tag == 0.0 or e.tag == "form")
+        e.bad = 0.0 if holds and (sure or tag == 0.0) or most else min(tag, name)
+        e.bad = min(e.bad, e.parent.bad if e.parent else 0.0)
 
 
 def main_text(page: str, w: Weights | None = None) -> str:
     """Main text of a page: blocks in page order, white space inside and between them as one space."""
     w = w or default_weights()
     items, elements = read(page)
-    _judge(elements, w)
+    _judge(items, elements, w)
     best = total = 0.0
     begin = first = last = 0
     for i, (kind, text, element) in enumerate(items):
         if kind == "text":
-            n = len(text.split())
-            element.words += n
-            total += n * (w.word if element.bad == 0.0 else element.bad)
+            total += len(text.split()) * (w.word if element.bad == 0.0 else element.bad)
         elif kind == "tag":
             total += w.tag.get(text, w.other_tag)
         if total <= 0:

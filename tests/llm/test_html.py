@@ -28,6 +28,29 @@ def test_frames_only_widen_the_region():
         assert main_text(page) == f"{words('a', 60)} {words('b', 40)}", name
 
 
+def test_one_name_around_an_article_does_not_empty_it():
+    story = "Title Some words of the story, and some more of them to read."
+    article = "<article><h1>Title</h1><p>Some words of the story, and some more of them to read.</p></article>"
+    for before, after in (
+        ("<div class='page no-sidebar'>", "</div>"), ("<div id='wrapper' class='has-menu'>", "</div>"), ("<div class='modal-page'><main>", "</main></div>"),
+        ("<form action='/'>", "</form>"), ("<div class='widget'><div>", "</div></div>"),
+    ):
+        assert main_text(f"<body>{before}{article}{SIDE}{after}<footer>foot</footer>") == story, before
+        plain = article.replace("article>", "div>")
+        assert main_text(f"<body>{before}{plain}{after}<footer>foot</footer>") == story, before
+    comments = f"<section id='comments'>{'<article>a comment that is long</article>' * 30}</section>"
+    assert main_text(f"<body>{article}{comments}") == story
+
+
+def test_end_tags_that_may_be_left_out():
+    body = "<body><p>Some words to read here.</p>"
+    for head in ("<head>", "<head><title>t</title><meta charset=x><style>p{}</style>", "<head><script>'<div>'</script><link rel=x>", "<head><title>t</title></head>"):
+        assert main_text(f"<html>{head}{body}") == main_text(f"<html>{head}{body[6:]}") == "Some words to read here.", head
+    for raw in ("<datalist><option value=a></datalist>", "<datalist><option>one<option>two</datalist>", "<option>one</option>", "<svg>", "<noscript>", "<select>"):
+        assert main_text(f"<body>{raw}<p>Some words to read here.</p>") == "Some words to read here.", raw
+    assert main_text("<p>Some words.</p><script>var x = 1; <p>more</p>") == "Some words."
+
+
 def test_plain_input():
     assert main_text("<p>just a para</p>") == "just a para"
     assert main_text("plain text, 1 < 2 &lt;b&gt;") == "plain text, 1 < 2 <b>"
