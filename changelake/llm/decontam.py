@@ -1,6 +1,6 @@
 """Benchmark decontamination: rare n-gram seeds propose passages, Smith-Waterman alignment scores them.
 
-Word n-grams of the test items that are rare in the corpus are looked for in all documents. Around every hit a passage long enough for the whole item is aligned locally, word by word, with the
+Word n-grams of the test items that are rare in the corpus, of four, three and two words, are looked for in all documents. Around every hit a passage long enough for the whole item is aligned locally, word by word, with the
 item, so that copies with changed, added or left-out words are found too.
 """
 
@@ -18,18 +18,19 @@ from changelake.llm.common import arrow_map, narrowed, stored, text_or_empty
 from changelake.llm.texthash import Words, slices, windows
 
 #: Bits of the table that tells most other n-grams from those of the items: a fixed size, whatever the items.
-BITS = 22
+BITS = 25
 #: Bytes that are no part of a word: ASCII other than letters and digits.
 _APART = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 
 
 @dataclass(frozen=True)
 class Settings:
-    """n: words of a seed. threshold: least score / best possible score of an item, where a word that agrees scores `match`, one
+    """n: words of a seed; items of `short` words or more have seeds of the sizes in `smaller` too. threshold: least score / best possible score of an item, where a word that agrees scores `match`, one
     that differs costs `differ` and one that is added or left out costs `gap`. An item of fewer than `short` words is
     only found as it is: by chance a few words agree anywhere."""
 
     n: int = 4
+    smaller: tuple[int, ...] = (3, 2)
     threshold: float = 0.5
     match: int = 2
     differ: int = 1
@@ -56,24 +57,44 @@ def align(item: np.ndarray, passage: np.ndarray, s: Settings) -> int:
 
 
 def _bit_table(grams: DataFrame) -> np.ndarray:
-    """Which high bits of `gram` occur. The driver gets at most 2 ** BITS numbers."""
+    """Which high bits of `gram` occur, eight to a byte. The driver gets at most 2 ** BITS numbers."""
     found = grams.select(F.shiftrightunsigned("gram", 64 - BITS).cast("int").alias("bit")).distinct().toPandas()["bit"].to_numpy()
     table = np.zeros(1 << BITS, bool)
     table[found] = True
-    return table
+    return np.packbits(table, bitorder="little")
+
+
+def _hits(w: Words, table: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds of all sizes in the texts that the table lets through, in order, and the index of their first words."""
+    hashes = w.hashes()
+    grams, places = [], []
+    for n in (s.n, *s.smaller):
+        gram, first = windows(w, hashes, n, short=n == s.n)
+        bit = (gram >> np.uint64(64 - BITS)).astype(np.int64)
+        hit = (table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+        grams.append(gram[hit])
+        places.append(first[hit])
+    first = np.concatenate(places)
+    order = np.argsort(first, kind="stable")
+    return np.concatenate(grams)[order].view(np.int64), first[order]
 
 
 def _item_grams(items: DataFrame, s: Settings) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w = _words(batch.column(1))
-            gram, at = windows(w, w.hashes(), s.n, short=True)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(w.doc[at])), pa.array(gram.view(np.int64)), pa.array(w.counts()[w.doc[at]])],
-                names=["item_key", "gram", "n_words"],
-            )
+            hashes, counts = w.hashes(), w.counts()
+            for n in (s.n, *s.smaller):
+                gram, at = windows(w, hashes, n, short=n == s.n)
+                if n != s.n:
+                    long = counts[w.doc[at]] >= s.short
+                    gram, at = gram[long], at[long]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(w.doc[at])), pa.array(gram.view(np.int64)), pa.array(counts[w.doc[at]]), pa.array(np.full(len(at), n, np.int32))],
+                    names=["item_key", "gram", "n_words", "size"],
+                )
 
-    return arrow_map(items.select("item_key", "item"), split, "item_key binary, gram bigint, n_words bigint")
+    return arrow_map(items.select("item_key", "item"), split, "item_key binary, gram bigint, n_words bigint, size int")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text",
@@ -126,7 +147,8 @@ def _rare_seeds(docs: DataFrame, grams: DataFrame, s: Settings) -> DataFrame:
     """(gram, item_key): the n-grams of each item that are rare in the documents.
 
     Rare is what at most one document in a thousand holds (or ten), or what is no more than four times as frequent as the item's middle
-    n-gram: all n-grams of an item that was copied into a third of the documents are frequent, and then they are what tells it.
+    n-gram: all n-grams of an item that was copied into a third of the documents are frequent, and then they are what tells it. Two words
+    are rare if at most one document in ten thousand holds them (or ten): unlike longer runs they meet by chance.
     """
     table = _bit_table(grams)
 
@@ -134,18 +156,18 @@ def _rare_seeds(docs: DataFrame, grams: DataFrame, s: Settings) -> DataFrame:
         for batch in batches:
             for at, to in slices(batch.column(0)):
                 w = _words(batch.column(0).slice(at, to - at))
-                gram, first = windows(w, w.hashes(), s.n, short=True)
-                hit = table[(gram >> np.uint64(64 - BITS)).astype(np.int64)]
-                pairs = np.unique(np.stack([w.doc[first[hit]].astype(np.int64), gram[hit].view(np.int64)]), axis=1)
+                gram, first = _hits(w, table, s)
+                pairs = np.unique(np.stack([w.doc[first].astype(np.int64), gram]), axis=1)
                 found, n = np.unique(pairs[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["gram", "n"])
 
     counted = arrow_map(docs.select("text"), count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("df"))
-    of_items = grams.select("gram", "item_key").distinct()
-    known = stored(of_items.join(counted, "gram", "left").select("gram", "item_key", F.coalesce("df", F.lit(0)).alias("df")), "decontam-df")
-    middle = known.groupBy("item_key").agg(F.expr("percentile_disc(0.5) within group (order by df)").alias("middle"))
-    usual = max(10, docs.count() // 1000)
-    return known.join(middle, "item_key").where(F.col("df") <= F.greatest(F.lit(usual), 4 * F.col("middle"))).select("gram", "item_key")
+    of_items = grams.select("gram", "item_key", "size").distinct()
+    known = stored(of_items.join(counted, "gram", "left").select("gram", "item_key", "size", F.coalesce("df", F.lit(0)).alias("df")), "decontam-df")
+    middle = known.where(F.col("size") == s.n).groupBy("item_key").agg(F.expr("percentile_disc(0.5) within group (order by df)").alias("middle"))
+    n_docs = docs.count()
+    limit = F.when(F.col("size") == 2, max(10, n_docs // 10_000)).otherwise(F.greatest(F.lit(max(10, n_docs // 1000)), 4 * F.col("middle")))
+    return known.join(middle, "item_key").where(F.col("df") <= limit).select("gram", "item_key")
 
 
 def _passages(docs: DataFrame, table: np.ndarray, reach: int, s: Settings) -> DataFrame:
@@ -160,9 +182,7 @@ def _passages(docs: DataFrame, table: np.ndarray, reach: int, s: Settings) -> Da
             for low, high in slices(batch.column(1)):
                 part = batch.slice(low, high - low)
                 w = _words(part.column(1))
-                gram, first = windows(w, w.hashes(), s.n, short=True)
-                hit = np.flatnonzero(table[(gram >> np.uint64(64 - BITS)).astype(np.int64)])
-                gram, first = gram[hit].view(np.int64), first[hit]
+                gram, first = _hits(w, table, s)
                 doc = w.doc[first]
                 limits = np.searchsorted(w.doc, np.arange(len(part) + 1))
                 rows, texts, found = [], [], []

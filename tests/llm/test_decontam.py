@@ -58,6 +58,21 @@ def test_edited_copies_against_brute_force(spark, make_docs):
     assert got == expected and len(expected) >= 30
 
 
+def test_short_items_with_many_replaced_words_against_brute_force(spark, make_docs):
+    rng = random.Random(4)
+    items = [(i, words(rng, rng.choice((15, 20)))) for i in range(120)]
+    docs = []
+    for i, item in items:
+        fourth = [w if k % 4 != 3 else "other" for k, w in enumerate(item)]
+        for copy in (fourth, *([w if rng.random() >= rate else "other" for w in item] for rate in (0.2, 0.25, 0.3))):
+            docs.append((len(docs), " ".join(words(rng, 60) + copy + words(rng, 60))))
+    expected = {(d, d // 4) for d, text in docs if brute_score(items[d // 4][1], text.split()) >= len(items[d // 4][1])}
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(make_docs(*docs), items_of(spark, [(i, " ".join(t)) for i, t in items])).collect()}
+    print(len(got & expected), "of", len(expected))
+    assert {(4 * i, i) for i, _ in items} <= got <= expected
+    assert len(got) >= 0.995 * len(expected)
+
+
 def test_passage_in_many_documents(spark, make_docs):
     rng = random.Random(3)
     item = words(rng, 25)
