@@ -159,41 +159,24 @@ def train_chain(
                 doc, feature = text_features(batch.column(1).slice(at, to - at))
                 keys, index = np.unique(feature, return_inverse=True)
                 by = [np.bincount(index, y[at:to][doc], len(keys)).astype(np.int64) for y in ys]
-                keep = np.any(by, axis=0)  # a feature seen in no positive text has no lift
+                n = np.bincount(index, minlength=len(keys)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)[keep]), *[pa.array(b[keep]) for b in by]],
-                    names=["feature", *[f"n{i}" for i in range(c)]],
+                    [pa.array(keys.view(np.int64)), pa.array(n), *[pa.array(b) for b in by]], names=["feature", "n", *[f"n{i}" for i in range(c)]]
                 )
 
-    def count_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, to in slices(batch.column(0)):
-                known = _Known(candidates)
-                doc, index = known.find(*text_features(batch.column(0).slice(at, to - at)))
-                n = np.bincount(index, minlength=len(candidates))
-                keep = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(keep), pa.array(n[keep])], names=["at", "n"])
-
-    schema = "feature bigint, " + ", ".join(f"n{i} bigint" for i in range(c))
-    sums = [F.sum(f"n{i}").alias(f"n{i}") for i in range(c)]
+    names = ["n", *[f"n{i}" for i in range(c)]]
+    schema = "feature bigint, " + ", ".join(f"{name} bigint" for name in names)
     totals = sample.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(f"y{i}"), F.lit(0)).alias(f"y{i}") for i in range(c)]).first()
-    positive = arrow_map(sample, count, schema).groupBy("feature").agg(*sums)
-    often = F.greatest(*[F.col(f"n{i}") for i in range(c)], F.lit(0))
-    rows = positive.where(often >= 2).orderBy(often.desc(), "feature").limit(8 * max_features).collect()
-    rows.sort(key=lambda r: np.uint64(np.int64(r[0]).view(np.uint64)))
-    candidates = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    by = np.array([r[1:] for r in rows], float).reshape(len(rows), c)
-    n_all = np.zeros(len(rows))
-    if len(rows):
-        for r in arrow_map(sample.select("text"), count_all, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():
-            n_all[r["at"]] = r["n"]
-    best = np.zeros(len(rows))
+    counted = arrow_map(sample, count, schema).groupBy("feature").agg(*[F.sum(name).alias(name) for name in names])
+    best = F.lit(0.0)
     for i in range(c):
         pos, neg = totals[f"y{i}"], totals["n"] - totals[f"y{i}"]
-        p1, p0 = (by[:, i] + 0.1) / (pos + 1), (n_all - by[:, i] + 0.1) / (neg + 1)
-        best = np.maximum(best, np.where(p1 >= min_lift * p0, by[:, i] * np.log(p1 / p0), 0))
-    chosen = np.sort(np.argsort(-best, kind="stable")[: min(max_features, int((best > 0).sum()))])
-    known = _Known(candidates[chosen])
+        p1, p0 = (F.col(f"n{i}") + 0.1) / (pos + 1), (F.col("n") - F.col(f"n{i}") + 0.1) / (neg + 1)
+        best = F.greatest(best, F.when(p1 >= min_lift * p0, F.col(f"n{i}") * F.log(p1 / p0)).otherwise(0.0))
+    often = F.greatest(*[F.col(f"n{i}") for i in range(c)], F.lit(0))
+    ranked = counted.where(often >= 2).select("feature", best.alias("best")).where("best > 0").orderBy(F.desc("best"), "feature")
+    features = np.array([r["feature"] for r in ranked.limit(max_features).collect()], np.int64).view(np.uint64)
+    known = _Known(np.sort(features))
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +192,7 @@ def train_chain(
 
     schema = "fold int, at array<int>, " + ", ".join(f"y{i} int" for i in range(c))
     got = arrow_map(sample, rows_of, schema).collect()
-    n, size = len(got), len(chosen)
+    n, size = len(got), len(features)
     doc = np.repeat(np.arange(n), [len(r["at"]) for r in got]).astype(np.int64)
     feature = np.array([x for r in got for x in r["at"]], np.int64)
     fold = np.array([r["fold"] for r in got], np.int64)

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from changelake.llm import toxicity
@@ -47,6 +48,14 @@ def test_unseen_form_of_a_known_stem(spark, chain):
     assert {r.doc_id: r.toxic for r in toxicity.score_chain(docs, chain).collect()} == {1: True, 2: False}
 
 
+def test_rare_telling_words_among_many_common_ones(spark):
+    telling = ["zzaa", "zzbb", "zzcc", "zzdd"]
+    rows = [(i, " ".join([*CLEAN, telling[i % 4]] if i < 60 else CLEAN), int(i < 60)) for i in range(120)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    chain = toxicity.train_chain(labelled, ["toxic"], max_features=4)
+    assert set(chain.features) == set(toxicity.text_features(pa.array([" ".join(telling)]))[1])
+
+
 def test_odd_rows(make_docs, chain):
     rows = [(1, None), (2, ""), (None, "idiot moron idiot moron"), (4, "river " * 30000), (4, "river " * 30000)]
     got = toxicity.score_chain(make_docs(*rows), chain).collect()
