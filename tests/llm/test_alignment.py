@@ -1,6 +1,7 @@
 """Aligned tokens against a plain version that works text by text."""
 
 import hashlib
+import json
 import random
 from collections import Counter
 
@@ -79,7 +80,7 @@ def check(docs, rows, tools):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, tools)
 
 
-def test_equals_the_plain_version(make_docs, tools, monkeypatch):
+def test_equals_the_plain_version(make_docs, tools):
     rng = random.Random(8)
     texts = [None, "", " ", "a", "<|endoftext|> and </s> <s> <unk> <0x41>", "Hello  world\n\n\ttabs", "x▁y", "naïve 日本語 🙂 👨‍👩‍👧 \x00\x01", "é" * 300, "a" * 3000, "  \n ", "　全角"]
     words = ["the", "tokenization", "Schifffahrt", "ungewöhnlich", "don't", "12345", "été", "😀", "x=y;", "日本", "\n", "  "]
@@ -96,6 +97,26 @@ def test_long_text_and_no_rows(make_docs, tools):
     check(make_docs((1, None), (2, "")), [(1, None), (2, "")], tools)
 
 
+def test_ranks_give_the_ids_of_the_library(tmp_path, tools):
+    """Words are cut by classes of characters: every character of the first 12,288, and a sample of the others, in several contexts."""
+    vocab = alignment.ByteLevel(A)
+    points = [c for c in [*range(0x3000), *range(0x3000, 0x110000, 97)] if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}1{c}.{c} {c}{c}  {c}\n{c}a {c}. {c}1" for c in map(chr, points)] + ["<|endoftext|>", "", "a" * 5000]
+    expected = [e.ids for e in tools[0].encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert vocab.encode(texts) == expected and type(vocab.tool).__module__.startswith("tiktoken")
+
+
+def test_other_files_go_to_the_library(tmp_path, tools):
+    """A file that is no plain list of ranks: here the last merge is missing, so its token is never made."""
+    file = json.loads(open(A, encoding="utf-8").read())
+    file["model"]["merges"].pop()
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(file), encoding="utf-8")
+    vocab = alignment.ByteLevel(str(path))
+    assert type(vocab.tool).__module__ == "tokenizers"
+    assert vocab.encode(["Hello 世界"]) == [tools[0].encode(" Hello 世界", add_special_tokens=False).ids]
+
+
 def test_pointers_against_cuts():
     """Groups found by doubling are the stretches between bytes where tokens of both sides end."""
     rng = np.random.default_rng(4)
