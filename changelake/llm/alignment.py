@@ -188,9 +188,19 @@ def _ship(docs: DataFrame, path: str) -> str:
     return os.path.basename(path)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, compressed: all their lowest bytes first, then all second ones, and so on."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def token_blocks(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents in blocks of about 8 MB of text: block, docs (one struct each), links (positions in pairs as 32-bit numbers, in
-    order), pairs (distinct) and times (how often each stands in the block)."""
+    """Documents in blocks of about 8 MB of text: block, docs (one struct each), links (positions in pairs, in order,
+    packed), pairs (distinct) and times (how often each stands in the block)."""
     first, second = _ship(docs, first), _ship(docs, second)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,9 +214,13 @@ def token_blocks(docs: DataFrame, first: str, second: str, id_col: str = "doc_id
             known = np.unique(np.concatenate([p for p, _ in lines]))
             at = np.concatenate([np.searchsorted(known, p).astype("<u4")[links] for p, links in lines])
             times = np.bincount(at, minlength=len(known))
+            order = np.argsort(-times, kind="stable")  # frequent pairs get small numbers, which pack well
+            place = np.empty(len(known), "<u4")
+            place[order] = np.arange(len(known))
+            at, known, times = place[at], known[order], times[order]
             name = f"{task}-{made}"
             return pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.array([rows], pa.list_(_DOC)), pa.array([at.tobytes()], pa.binary()),
+                [pa.array([name]), pa.array([rows], pa.list_(_DOC)), pa.array([packed(at)], pa.binary()),
                  pa.array([known], pa.list_(pa.int64())), pa.array([times], pa.list_(pa.int64()))],
                 names=["block", "docs", "links", "pairs", "times"],
             )
@@ -262,8 +276,8 @@ def align(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text
         for batch in batches:
             for i in range(len(batch)):
                 rows = batch.column(0)[i].values
-                links = np.frombuffer(batch.column(1)[i].as_buffer(), "<u4")
                 groups = rows.field("n_groups").to_numpy()
+                links = unpacked(batch.column(1)[i].as_py(), int(groups.sum()))
                 ends = np.concatenate([[0], np.cumsum(groups)])
                 n, best = (batch.column(j)[i].values for j in (2, 3))
                 n = n.to_numpy() if n is not None else np.zeros(0, np.int64)
