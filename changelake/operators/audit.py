@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column as SqlColumn, DataFrame, Window, functions as F
+from pyspark.sql import Column as SqlColumn, DataFrame, functions as F
 
 from changelake.functions import start_of_minute
-from changelake.operators.skew import copied, salted
+from changelake.operators.ranks import quantile
 from changelake.operators.versions import latest, moment
 
 # Fixed value: advice for the partition count of a topic.
@@ -100,57 +100,10 @@ def percentile(rows: DataFrame, value: str, p: float, by: Sequence[str] = (), ac
 
 
 def exact_percentile(
-    rows: DataFrame, value: str, p: float, by: Sequence[str] = (), accuracy: int = 10_000, small: int = 100_000
+    rows: DataFrame, value: str, p: float, by: Sequence[str] = (), accuracy: int = 10_000, small: int = 0
 ) -> DataFrame:
-    """Interpolated percentile per group, without gathering a group in one place.
+    """Interpolated percentile per group, without gathering a group in one place: see ``ranks.quantile``.
 
-    A sketch brackets the wanted rank to within ``n / accuracy``. The second pass counts
-    what lies below the bracket and passes on only the distinct values inside it with
-    their counts: about four ``n / accuracy`` values of a group at most. Groups shorter
-    than ten times the accuracy are passed on whole.
+    The plan is the same at every size; ``small`` is no longer used.
     """
-    groups = {f"_g{i}": c for i, c in enumerate(by)}
-    rows = rows.filter(F.col(value).isNotNull()).select(
-        *[F.col(c).alias(g) for g, c in groups.items()], F.col(value).cast("double").alias("_v")
-    )
-    slack = 2.0 / accuracy
-    ends = F.array(F.lit(max(0.0, p - slack)), F.lit(min(1.0, p + slack)))
-    bounds = rows.groupBy(*[F.col(g).alias(f"{g}b") for g in groups]).agg(
-        F.percentile_approx("_v", ends, F.lit(accuracy)).alias("_ends"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.count("*").alias("_n"),
-    )
-    short = F.col("_n") < 10 * accuracy
-    bracket = {
-        "_low": F.when(short | F.lit(p <= slack), F.col("_min")).otherwise(F.col("_ends")[0]),
-        "_high": F.when(short | F.lit(p + slack >= 1), F.col("_max")).otherwise(F.col("_ends")[1]),
-        "_n": F.col("_n"),
-    }
-    bounds = bounds.select(*[f"{g}b" for g in groups], F.struct(*[e.alias(n) for n, e in bracket.items()]).alias("_bounds"))
-    if groups:
-        same_group = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"{g}b")) for g in groups])
-        if rows.select(*groups).distinct().limit(small + 1).count() <= small:
-            bounded = rows.join(F.broadcast(bounds), same_group)
-        else:
-            dealt, copies = salted(rows, ["_v"]), copied(bounds).withColumnRenamed("_salt", "_salt_b")
-            bounded = dealt.join(copies, same_group & (F.col("_salt") == F.col("_salt_b")))
-    else:
-        bounded = rows.withColumn("_bounds", bounds.scalar())
-
-    bounded = bounded.select(*groups, "_v", "_bounds.*").filter("_v <= _high")
-    inside = F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v")
-    counted = bounded.groupBy(*groups, inside, "_n").agg(F.count("*").alias("_c"))
-    upward = Window.partitionBy(*groups).orderBy(F.col("_v").asc_nulls_first())
-    ranked = counted.withColumn("_upto", F.sum("_c").over(upward.rowsBetween(Window.unboundedPreceding, 0)))
-    place = F.lit(p) * (F.col("_n") - 1)
-    at = F.floor(place)
-    picked = ranked.groupBy(*groups).agg(
-        F.min(F.when(F.col("_upto") > at, F.col("_v"))).alias("_a"),
-        F.min(F.when(F.col("_upto") > at + 1, F.col("_v"))).alias("_b"),
-        F.first(place - at).alias("_frac"),
-    )
-    a, b = F.col("_a"), F.coalesce("_b", "_a")
-    return picked.select(
-        *[F.col(g).alias(c) for g, c in groups.items()], (a + (b - a) * F.col("_frac")).alias("percentile")
-    )
+    return quantile(rows, value, p, by, accuracy).withColumnRenamed("quantile", "percentile")

@@ -1,12 +1,14 @@
 """Ranks, exact quantiles and samples of any size, without gathering a group in one task.
 
-Three mechanisms:
+Mechanisms:
 
 - ``ranked``: rows are cut into ranges of the sort key; a row's rank is its place in its range plus the totals of the
   ranges before it, of which there is one row per range and group.
 - ``quantile``: a sketch brackets the wanted rank, a second sketch of the bracket's rows brackets it again, and only what
   is left is put in order.
-- ``cut_off``: the value at a rank of a 64-bit hash is found by descending a histogram of its leading bits.
+- ``cut_off``: the value at a rank of a hash is found by descending a histogram of its leading digits.
+
+``carried`` uses the ranges of the first for the last value before each row.
 """
 
 from __future__ import annotations
@@ -19,13 +21,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from changelake.operators.skew import copied, salted
 from changelake.session import written
 
-#: Bits of the hash that one round of ``cut_off`` tells apart, and rounds: 3 * 14 = 42 leading bits.
-ROUND_BITS, ROUNDS = 14, 3
-
-
-def same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
-    """Equality of columns of two frames where null equals null."""
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
+#: Hex digits of the hash that one round of ``cut_off`` tells apart, and rounds.
+DIGITS, ROUNDS = 3, 4
 
 
 def ranked(rows: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "rank") -> DataFrame:
@@ -159,62 +156,90 @@ def quantile(rows: DataFrame, value: str, p: float, by: Sequence[str] = (), accu
 
 
 def cut_off(hashes: DataFrame, hash_col: str, n: int) -> DataFrame:
-    """Where the ``n`` smallest of a column of 64-bit hashes (read as unsigned) end: one row ``(cut, rest)``, or none if there are no more than ``n``.
+    """Where the ``n`` smallest of a column of hashes in hex end: one row ``(cut, rest)``, or none if there are fewer than ``n``.
 
-    All hashes whose 42 leading bits are below ``cut`` belong to the ``n`` smallest, and ``rest`` of those that share these bits.
-    Each round counts, in fixed space, the hashes per value of the next 14 bits under the prefix found so far; combined
-    before the shuffle, a round moves at most 16,384 counts a task. Rows are never sorted.
+    All hashes whose 12 leading digits are below ``cut`` belong to the ``n`` smallest, and ``rest`` of those that start with
+    these digits. Each round counts, in fixed space, the hashes per value of the next 3 digits under the prefix found so far;
+    counts are combined before the shuffle, so a round moves at most 4,096 of them a task. Rows are never sorted.
     """
     found = None
     for i in range(ROUNDS):
-        shift = 64 - ROUND_BITS * (i + 1)
-        code = F.shiftrightunsigned(hash_col, shift)
-        codes = hashes.select(code.alias("_code"))
-        if found is not None:  # one row, as it comes out of a group of one value
-            codes = codes.withColumn("_prefix", F.shiftright("_code", ROUND_BITS)).join(F.broadcast(found), F.col("_prefix") == F.col("cut"))
-            wanted = F.col("rest")
-        else:
-            codes, wanted = codes.withColumn("_prefix", F.lit(0).cast("bigint")), F.lit(n).cast("bigint")
-        counts = codes.withColumn("_wanted", wanted).groupBy("_prefix", "_wanted", "_code").agg(F.count("*").alias("_c"))
+        digits = hashes.select(F.substring(hash_col, 1, DIGITS * (i + 1)).alias("_code"))
+        if found is None:
+            coded = digits.withColumns({"_prefix": F.lit(""), "_wanted": F.lit(n).cast("bigint")})
+        else:  # one row, as it comes out of a group of one value
+            named = found.select(F.col("cut").alias("_prefix"), F.col("rest").alias("_wanted"))
+            coded = digits.withColumn("_prefix", F.substring("_code", 1, DIGITS * i)).join(F.broadcast(named), "_prefix")
+        counts = coded.groupBy("_prefix", "_wanted", "_code").agg(F.count("*").alias("_c"))
         listed = counts.groupBy("_prefix", "_wanted").agg(F.array_sort(F.collect_list(F.struct("_code", "_c"))).alias("_list"))
-        start = F.struct(F.lit(None).cast("bigint").alias("cut"), F.col("_wanted").alias("rest"))
-        step = lambda s, x: F.when(s["cut"].isNotNull(), s).otherwise(
-            F.when(x["_c"] >= s["rest"], F.struct(x["_code"].alias("cut"), s["rest"].alias("rest"))).otherwise(
-                F.struct(F.lit(None).cast("bigint").alias("cut"), (s["rest"] - x["_c"]).alias("rest"))
-            )
-        )
-        found = listed.select(F.aggregate("_list", start, step).alias("_at")).select("_at.cut", "_at.rest").where("cut IS NOT NULL")
+        none = F.lit(None).cast("string")
+
+        def step(s: Column, x: Column) -> Column:
+            here = F.struct(x["_code"].alias("cut"), s["rest"].alias("rest"))
+            beyond = F.struct(none.alias("cut"), (s["rest"] - x["_c"]).alias("rest"))
+            return F.when(s["cut"].isNotNull(), s).when(x["_c"] >= s["rest"], here).otherwise(beyond)
+
+        at = F.aggregate("_list", F.struct(none.alias("cut"), F.col("_wanted").alias("rest")), step)
+        found = listed.select(at.alias("_at")).select("_at.cut", "_at.rest").where("cut IS NOT NULL")
     return found
 
 
 def key_hash(keys: Sequence[str], seed: int | None = None) -> Column:
-    """64 bits of the MD5 of the keys as text, as a signed number: the same in every engine that has MD5. Null keys count as \\N."""
-    text = F.concat_ws("\u001f", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("\\N")) for k in keys], *([F.lit(str(seed))] if seed is not None else []))
-    digest = F.md5(text)
-    high, low = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.conv(F.substring(digest, 9, 8), 16, 10).cast("bigint")
-    return F.shiftleft(high, 32).bitwiseOR(low)
+    """MD5 of the keys as text, in hex: the same in every engine that has MD5. Null keys count as \\N."""
+    text = [F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("\\N")) for k in keys]
+    return F.md5(F.concat_ws("\u001f", *text, *([F.lit(str(seed))] if seed is not None else [])))
 
 
 def sampled_keys(rows: DataFrame, keys: Sequence[str], n: int, seed: int | None = None) -> DataFrame:
     """``n`` keys picked at random, the same ones on every run with the same ``seed``; all keys if there are no more.
 
-    The keys of smallest hash are taken: those below a cut-off by a filter, where they lie, and from those that share
-    its leading 42 bits as many as are missing, in order of hash and keys. No rows are sorted but those few. A key on
-    several rows counts as often as it stands there.
+    The keys of smallest hash are taken: those below a cut-off by a filter, where they lie, and from those that share its
+    12 leading digits as many as are missing, in order of hash and keys. No rows are sorted but those few. A key that stands on
+    several rows counts as often.
     """
     if n < 0:
         raise ValueError("sample size must not be negative")
     if n == 0:
         return rows.select(*keys).limit(0)
-    bits = 64 - ROUND_BITS * ROUNDS
     hashed = rows.select(*keys, key_hash(keys, seed).alias("_hash"))
     cut = cut_off(hashed, "_hash", n)
-    coded = hashed.withColumn("_code", F.shiftrightunsigned("_hash", bits))
-    # at most one row; without one there are no more than n keys, and all are below
+    coded = hashed.withColumn("_code", F.substring("_hash", 1, DIGITS * ROUNDS))
+    # one row at most; without one there are fewer than n keys, and all are below
     limit = cut.select("cut").scalar()
     below = coded.where(F.coalesce(F.col("_code") < limit, F.lit(True))).select(*keys)
-    tied = coded.join(F.broadcast(cut), F.col("_code") == F.col("cut")).groupBy("_code", "rest", "_hash", *keys).agg(F.count("*").alias("_c"))
-    before = Window.partitionBy("_code").orderBy(F.conv(F.hex("_hash"), 16, 10).cast("decimal(20,0)"), *keys).rowsBetween(Window.unboundedPreceding, -1)
+    named = cut.select(F.col("cut").alias("_code"), "rest")
+    tied = coded.join(F.broadcast(named), "_code").groupBy("_code", "rest", "_hash", *keys).agg(F.count("*").alias("_c"))
+    before = Window.partitionBy("_code").orderBy("_hash", *keys).rowsBetween(Window.unboundedPreceding, -1)
     taken = F.least(F.col("_c"), F.col("rest") - F.coalesce(F.sum("_c").over(before), F.lit(0)))
     copies = tied.withColumn("_take", taken).where("_take > 0")
     return below.unionAll(copies.select(*keys, F.explode(F.sequence(F.lit(1).cast("bigint"), "_take")).alias("_i")).select(*keys))
+
+
+def carried(rows: DataFrame, value: Column, order: Sequence[str], by: Sequence[str], name: str) -> DataFrame:
+    """Rows with the last non-null ``value`` up to and including their own, in ascending order within their group.
+
+    Rows are written once in range order, as ``ranked`` does; a window looks back within each range, and what a range leaves
+    to the next ones of its group goes through one row per range and group. So a group is never in one task, however long it is.
+    Ties of the order are broken by a hash of the row.
+    """
+    at, piece, own, last, tie = _fresh([*rows.columns, name], "at", "piece", "own", "last", "tie")
+    keys = [f"k{i}_{at}" for i in range(len(by))]
+    rows = rows.withColumn(own, value)
+    by_range = [F.col(f"`{c}`").asc_nulls_first() for c in [*by, *order]] + [F.col(tie).asc()]
+    arranged = (
+        rows.withColumn(tie, F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]))
+        .repartitionByRange(*by_range)
+        .sortWithinPartitions(*by_range)
+        .drop(tie)
+        .withColumn(at, F.monotonically_increasing_id())
+    )
+    kept = written(arranged, "carried").withColumn(piece, F.shiftright(at, 33))
+    named = [F.col(f"`{c}`").alias(k) for c, k in zip(by, keys, strict=True)]
+    ends = kept.groupBy(piece, *named).agg(F.max_by(own, F.when(F.col(own).isNotNull(), F.col(at))).alias(last))
+    earlier = Window.partitionBy(*keys).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    left = ends.select(F.col(piece).alias(f"{piece}_t"), *keys, F.last(last, ignorenulls=True).over(earlier).alias(last))
+    match = [F.col(piece) == F.col(f"{piece}_t")] + [F.col(f"`{c}`").eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)]
+    joined = kept.join(left, reduce(lambda a, b: a & b, match))
+    back = Window.partitionBy(piece, *[F.col(f"`{c}`") for c in by]).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.coalesce(F.last(own, ignorenulls=True).over(back), F.col(last)).alias(name)
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns if c not in (name, own)], found)

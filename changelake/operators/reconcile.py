@@ -8,6 +8,7 @@ from pyspark.sql import Column as SqlColumn, DataFrame, functions as F
 
 from changelake.functions import join_list, percent, truncated_close
 from changelake.operators.audit import union_all
+from changelake.operators.ranks import sampled_keys
 from changelake.specs import TableSpec
 
 # Fixed values: (rule, metric, threshold); a rule fires above its threshold.
@@ -153,9 +154,8 @@ def field_summary(
 
 
 def random_keys(rows: DataFrame, keys: Sequence[str], n: int, seed: int | None = None) -> DataFrame:
-    """``n`` keys picked at random; without a seed the pick is the same every time."""
-    order = F.rand(seed) if seed is not None else F.xxhash64(*keys)
-    return rows.select(*keys).orderBy(order, *keys).limit(n)
+    """``n`` keys picked at random, of any number: the same ones every time, other ones with another ``seed``."""
+    return sampled_keys(rows, keys, n, seed)
 
 
 def sample_check(

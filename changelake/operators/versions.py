@@ -13,6 +13,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column as SqlColumn, DataFrame, Window, functions as F
 
 from changelake.functions import op_label
+from changelake.operators.ranks import carried
 from changelake.operators.skew import spread_join
 from changelake.specs import VERSION_ORDER, TableSpec
 
@@ -95,6 +96,36 @@ def as_of(log: DataFrame, keys: Sequence[str], at: datetime | SqlColumn) -> Data
     return latest(log.filter(F.col("cdc_timestamp") <= moment(at)), keys)
 
 
+def as_of_many(
+    log: DataFrame, keys: Sequence[str], asked: DataFrame, at: str = "at", order: Sequence[str] = VERSION_ORDER
+) -> DataFrame:
+    """State at many moments in one pass: for each row of ``asked`` (``keys`` and the moment ``at``) the newest version up to it.
+
+    Versions and moments are put in one order per key and the last version is carried to the moments after it, over the
+    edges of the range partitions too: no range join, and a key with a third of the log or of the moments is spread like any
+    other. Every asked row comes back with its columns and ``version``, a struct of the log's columns, which is null where
+    the key had no version yet. Moments and keys may repeat and be null; a null moment has no version.
+    """
+    rest = [c for c in log.columns if c not in keys]
+    none = lambda t: F.lit(None).cast(t)
+    image = F.struct(*[F.col(f"`{c}`") for c in rest])
+    extra = [c for c in asked.columns if c not in keys]
+    shape = log.select(image.alias("v")).schema["v"].dataType
+    extras = asked.select(F.struct(*[F.col(f"`{c}`") for c in extra]).alias("q")).schema["q"].dataType
+    places = [f"_o{i}" for i in range(1, len(order))]
+    versions = log.select(
+        *keys, F.col(order[0]).cast("timestamp").alias("_o0"), F.lit(0).alias("_kind"), *[F.col(c).alias(p) for c, p in zip(order[1:], places)],
+        image.alias("_v"), none(extras).alias("_q"),
+    )
+    moments = asked.select(
+        *keys, F.col(f"`{at}`").cast("timestamp").alias("_o0"), F.lit(1).alias("_kind"), *[none(log.schema[c].dataType).alias(p) for c, p in zip(order[1:], places)],
+        none(shape).alias("_v"), F.struct(*[F.col(f"`{c}`") for c in extra]).alias("_q"),
+    )
+    last = carried(versions.unionByName(moments), F.col("_v"), ["_o0", "_kind", *places], keys, "_last")
+    version = F.when(F.col("_o0").isNotNull(), F.col("_last")).alias("version")
+    return last.where("_kind = 1").select(*keys, *[F.col(f"_q.`{c}`") for c in extra], version)
+
+
 def compact(log: DataFrame, keys: Sequence[str], scope: str = "global") -> DataFrame:
     """Drop superseded versions: over the whole log, or within each month only.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from changelake.functions import has_prefix
 from changelake.operators import audit
+from changelake.operators.ranks import ranked
 from changelake.operators.reconcile import alerts, random_keys
 from changelake.operators.versions import active, latest, of_keys
 from changelake.plans import fixtures as fx
@@ -204,12 +205,33 @@ def any_rows(t: Tables) -> DataFrame:
     return current_lines(t).limit(3).agg(F.count("*").alias("n"))
 
 
-@register("random_keys_stable")
+@register("random_keys_stable", "SELECT o_orderkey FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR)) LIMIT 5")
 def random_keys_stable(t: Tables) -> DataFrame:
-    """Five pseudo-random keys. No SQL twin: the order is a hash of Spark's."""
+    """Five pseudo-random keys: those of smallest MD5."""
     return random_keys(t.orders, ["o_orderkey"], 5)
 
 
+@register(
+    "random_keys_half",
+    """WITH n AS (SELECT count(*) // 2 AS n FROM events) SELECT user_id, event_id FROM (SELECT *, row_number() OVER
+    (ORDER BY md5(CAST(user_id AS VARCHAR) || chr(31) || CAST(event_id AS VARCHAR))) AS rn FROM events) WHERE rn <= (SELECT n FROM n)""",
+)
+def random_keys_half(t: Tables) -> DataFrame:
+    """Half of a table as a sample: its rows meet in no task."""
+    return random_keys(t.events, ["user_id", "event_id"], t.events.count() // 2)
+
+
+@register(
+    "global_ranks",
+    """SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS "rank"
+    FROM lineitem""",
+)
+def global_ranks(t: Tables) -> DataFrame:
+    """Rank of every row among those of its flag, of which there are three: no window runs over a group."""
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return ranked(t.lineitem.select("l_returnflag", *order), order, by=["l_returnflag"]).drop("l_shipdate")
+
+
 # --- alerts ----------------------------------------------------------------------------
 
 DAY_RULES = (("many errors", "error", 60.0), ("many errors, urgent", "error", 75.0), ("busy", "click", 70.0))

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from changelake.functions import split_list
-from changelake.operators import reconcile as rc
+from changelake.operators import checksums, reconcile as rc
 from changelake.operators.changes import snapshot_to_changes
 from changelake.operators.envelope import resolve
 from changelake.operators.versions import active
@@ -131,7 +131,54 @@ def list_match(t: Tables) -> DataFrame:
     return rc.field_summary(source, target, spec)
 
 
-@register("sample_check")
+_FAILURES = (
+    f"WITH {REPLICA}, c AS ({_cells(FIELDS)}) SELECT c.o_orderkey, c.field, c.ok FROM c WHERE NOT ok"
+)
+
+
+@register("field_failures_by_checksum", _FAILURES)
+def field_failures_by_checksum(t: Tables) -> DataFrame:
+    """Only rows of ranges whose checksums differ are joined."""
+    return checksums.field_failures(t.orders, replica(t), fx.ORDERS, FIELDS).select("o_orderkey", "field", "ok")
+
+
+LOCAL = "local_replica AS (SELECT * REPLACE (CASE WHEN o_orderkey BETWEEN 100 AND 120 THEN 'X' ELSE o_orderstatus END AS o_orderstatus) FROM orders WHERE o_orderkey <> 777)"
+
+
+@register(
+    "field_summary_by_checksum",
+    f"WITH {LOCAL}, j AS (SELECT s.o_orderkey AS a, t.o_orderkey AS b, s.o_orderstatus AS x, t.o_orderstatus AS y FROM orders s FULL JOIN local_replica t USING (o_orderkey))"
+    " SELECT f AS field, count(*) FILTER (b IS NOT NULL AND (f <> 'o_orderstatus' OR x = y)) AS passed,"
+    " count(*) FILTER (NOT (b IS NOT NULL AND (f <> 'o_orderstatus' OR x = y))) AS failed FROM j,"
+    " (VALUES ('o_custkey'), ('o_orderstatus'), ('o_totalprice'), ('o_orderpriority')) v(f) GROUP BY f",
+)
+def field_summary_by_checksum(t: Tables) -> DataFrame:
+    """A replica with a few neighbouring edits and a missing row: of the table, their ranges are joined."""
+    return checksums.summary(t.orders, local_replica(t), fx.ORDERS, FIELDS)
+
+
+def local_replica(t: Tables) -> DataFrame:
+    edited = F.when(F.col("o_orderkey").between(100, 120), "X").otherwise(F.col("o_orderstatus"))
+    return t.orders.select(*fx.ORDERS.names).filter("o_orderkey <> 777").withColumn("o_orderstatus", edited)
+
+
+@register(
+    "differing_ranges",
+    f"""WITH {LOCAL}, s AS (SELECT o_orderkey >> 12 AS range, count(*) AS n FROM orders GROUP BY 1),
+    d AS (SELECT DISTINCT o_orderkey >> 12 AS range FROM orders WHERE o_orderkey BETWEEN 100 AND 120 AND o_orderstatus <> 'X' OR o_orderkey = 777)
+    SELECT CAST(range AS BIGINT) AS range, n AS source_rows, (SELECT count(*) FROM local_replica WHERE o_orderkey >> 12 = range) AS target_rows FROM s JOIN d USING (range)""",
+)
+def differing_ranges(t: Tables) -> DataFrame:
+    trees = [checksums.checksum_tree(side, fx.ORDERS, FIELDS) for side in (t.orders, local_replica(t))]
+    found = checksums.differing_ranges(*trees)
+    return found.where(F.col("depth") == checksums.DEPTHS).drop("depth")
+
+
+@register(
+    "sample_check",
+    f"WITH {REPLICA}, c AS ({_cells(FIELDS)}) SELECT * FROM c WHERE o_orderkey IN"
+    " (SELECT o_orderkey FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR)) LIMIT 200)",
+)
 def sample_check(t: Tables) -> DataFrame:
-    """Field check of random keys. No SQL twin: the pick is a hash of Spark's."""
+    """Field check of random keys; the pick is a hash both engines have."""
     return rc.sample_check(t.orders, replica(t), fx.ORDERS, 200, FIELDS).select("o_orderkey", "field", "ok")

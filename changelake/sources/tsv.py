@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column as SqlColumn, DataFrame, SparkSession, functions as F, types as T
 
 from changelake.functions import join_list, null_if, unescape_text
+from changelake.operators.ranks import ranked
 from changelake.operators.reconcile import random_keys
 from changelake.specs import TableSpec
 
@@ -95,8 +96,14 @@ def write_tsv(rows: DataFrame, path: str, null_marker: str = NULL_MARKER, rows_p
 
 
 def first_rows(rows: DataFrame, n: int, keys: Sequence[str] = ()) -> DataFrame:
-    """A sample of ``n`` rows: any ``n``, or with ``keys`` the first ``n`` in key order."""
-    return (rows.orderBy(*keys) if keys else rows).limit(n)
+    """A sample of ``n`` rows: any ``n``, or with ``keys`` the first ``n`` in key order.
+
+    With keys, rows are ranked over range partitions, so ``n`` may be any number and its rows meet nowhere.
+    """
+    if not keys:
+        return rows.limit(n)
+    ranks = ranked(rows, keys, name="_place")
+    return ranks.where(F.col("_place") < n).drop("_place")
 
 
 def stable_sample(rows: DataFrame, keys: Sequence[str], n: int) -> DataFrame:

@@ -11,6 +11,7 @@ from changelake.operators.envelope import decode, rejects
 from changelake.specs import TableSpec
 from changelake.sources.changelog import append_log
 from changelake.sources.topic import topic_name
+from changelake.streaming import offsets
 
 EVENT_ID = ("topic", "partition", "offset")
 
@@ -35,10 +36,11 @@ def keep_once(
     """Write each message once, however late it comes and however often it is delivered.
 
     There is no watermark: a message is left out only because its id was written before. Every
-    micro-batch goes to a folder of its own, which a repeated batch overwrites. By default its
-    ids are compared with all stored ones. ``ordered`` is for sources that deliver the offsets of a
-    partition in rising order, as a broker does: then it is enough to know the highest offset of each
-    partition, one row per partition kept beside the data, and nothing stored is read again.
+    micro-batch goes to a folder of its own, which a repeated batch overwrites, and nothing stored is read again: beside
+    the data lie the intervals of offsets seen so far (see ``offsets``), a row for each 65,536 offsets, and a batch
+    reads those of the batch before it. ``ordered`` is for sources that deliver the offsets of a partition in
+    rising order, as a broker does: then the highest offset of each partition is enough, one row each.
+    The last column of ``ids`` is the offset, a whole number.
     """
     marks = f"{path.rstrip('/')}-marks"
     source = list(ids)[:-1]
@@ -57,14 +59,26 @@ def keep_once(
             new.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
             seen.select(*ids).write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
             return
+        shape = T.StructType([*[batch.schema[c] for c in source], *T.StructType.fromDDL(f"chunk bigint, {offsets.SPANS}")])
+        known = _before(spark, marks, shape, batch_id).filter(F.col("batch") == batch_id - 1).drop("batch") if batch_id > 0 else spark.createDataFrame([], shape)
         if batch_id > 0:
-            new = new.join(_before(spark, path, kinds, batch_id).select(*ids), list(ids), "left_anti")
+            new = offsets.new_ids(new, known, source, offset)
         new.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        # from what was written, so that both agree even if the batch's rows come in another order the next time
+        stored = spark.read.schema(batch.schema).parquet(f"{path}/batch={batch_id}")
+        offsets.merged(known, offsets.seen(stored, source, offset), source).write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
 
     writer = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).queryName("keep_once")
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def read_seen(spark: SparkSession, path: str, messages: T.StructType, ids: Sequence[str] = EVENT_ID) -> DataFrame:
+    """Chunks of offsets seen by an unordered ``keep_once``, as its last batch left them."""
+    shape = T.StructType([*[messages[c] for c in list(ids)[:-1]], *T.StructType.fromDDL(f"chunk bigint, {offsets.SPANS}, batch bigint")])
+    marks = spark.read.schema(shape).parquet(f"{path.rstrip('/')}-marks")
+    return marks.where(F.col("batch") == marks.agg(F.max("batch")).scalar()).drop("batch")
+
+
 def read_once(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """What ``keep_once`` has written."""
     return spark.read.schema(schema).parquet(path)
