@@ -49,6 +49,10 @@ class Classes:
     )
 
 
+#: Parts that one running sum goes over; an even number, so that matches stand at odd places of every block.
+BLOCK = 256
+
+
 def _between(text: Column, pattern: str) -> Column:
     """Text between matches and matches by turns: the odd entries (from 1: the even ones) are the leftmost, non-overlapping matches.
 
@@ -59,7 +63,11 @@ def _between(text: Column, pattern: str) -> Column:
 
 
 def _matches(parts: Column) -> Column:
-    """(start, stop, found) of the matches in the list made by `_between`, in code points."""
+    """(start, stop, found) of the matches in the list made by `_between`, in code points.
+
+    Places are running sums of lengths, made block by block: a list that a fold appends to is copied at every step, so none gets longer
+    than a block, or than there are blocks.
+    """
     spans = F.array().cast("array<struct<start:int,stop:int,found:string>>")
 
     def add(state: Column, part: Column) -> Column:
@@ -69,8 +77,16 @@ def _matches(parts: Column) -> Column:
             stop.alias("stop"), (~state["odd"]).alias("odd"), F.when(state["odd"], F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans")
         )
 
-    start = F.struct(F.lit(0).alias("stop"), F.lit(False).alias("odd"), spans.alias("spans"))
-    return F.when(F.size(parts) == 1, spans).otherwise(F.aggregate(parts, start, add, lambda s: s["spans"]))
+    def within(block: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("stop"), F.lit(False).alias("odd"), spans.alias("spans"))
+        return F.aggregate(block, start, add, lambda s: s["spans"])
+
+    last = F.call_function("div", F.size(parts) - 1, F.lit(BLOCK)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(parts, b * BLOCK + 1, F.lit(BLOCK)))
+    lengths = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda n, part: n + F.char_length(part)))
+    begins = F.aggregate(lengths, F.array(F.lit(0)), lambda list_, n: F.array_append(list_, F.element_at(list_, -1) + n))
+    each = F.filter(F.zip_with(blocks, begins, within), lambda spans_: spans_.isNotNull())  # begins has one more than blocks
+    return F.when(F.size(parts) == 1, spans).otherwise(F.flatten(each))
 
 
 def peak_entropy(text: Column, c: Classes) -> Column:
@@ -115,7 +131,7 @@ def scan(docs: DataFrame, c: Classes = Classes(), id_col: str = "doc_id", text_c
     An entropy span is a candidate string outside the base spans, not on the allow-list, with a window above the limit of its class.
 
     Null and empty texts have no spans. Repeated rows and null ids come back as they are; extra columns are ignored. A text
-    is searched whole; the work grows with its length, and with the square of the number of its matches only in copying their list.
+    is searched whole; the work grows with its length and with the number of its matches (times its logarithm), not with the square.
     """
     named = narrowed(docs, doc_id=id_col, text=text_col).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.translate(text_or_empty(), "\x01\x02", "\x03\x03").alias("text")
@@ -127,8 +143,10 @@ def scan(docs: DataFrame, c: Classes = Classes(), id_col: str = "doc_id", text_c
     base = []
     for place, (kind, pattern, group, least) in enumerate(BASE):
         base.append(_kept(_matches(F.col(kind)), place, kind, pattern, group, least))
-    found = split.select("doc_id", F.concat(*base).alias("base"), _matches(F.col("entropy")).alias("runs"))
-    random = F.filter("runs", lambda r: _candidate(r, F.col("base")) & _random(r["found"], c))
+    kinds = [kind for kind, *_ in BASE]
+    found = split.select("doc_id", *[b.alias(kind) for b, kind in zip(base, kinds, strict=True)], _matches(F.col("entropy")).alias("runs"))
+    found = found.select("doc_id", *kinds, F.concat(*kinds).alias("base"), "runs")
+    random = F.filter("runs", lambda r: _candidate(r, [F.col(kind) for kind in kinds]) & _random(r["found"], c))
     spans = F.transform(random, lambda r: F.struct(r["start"].alias("start"), F.lit(len(BASE)).alias("place"), r["stop"].alias("stop"), F.lit("entropy").alias("kind")))
     sorted_ = found.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat(F.col("base"), spans)).alias("all"))
     listed = lambda col: F.array_join(F.transform(col, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
@@ -151,10 +169,30 @@ def _kept(matches: Column, place: int, kind: str, pattern: str, group: int, leas
     return F.transform(F.filter(matches, long_enough), span)
 
 
-def _candidate(run: Column, base: Column) -> Column:
+def _meets(spans: Column, run: Column) -> Column:
+    """Whether a run overlaps one of a list of spans, which are disjoint and rise: the first that ends after the run's start is found by halving."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.call_function("div", s["low"] + s["high"], F.lit(2)).cast("int")
+        after = F.get(spans, middle)["stop"] > run["start"]
+        return (
+            F.when(s["low"] >= s["high"], s)
+            .when(after, F.struct(s["low"].alias("low"), middle.alias("high")))
+            .otherwise(F.struct((middle + 1).alias("low"), s["high"].alias("high")))
+        )
+
+    start = F.struct(F.lit(0).alias("low"), F.size(spans).alias("high"))
+    first = F.aggregate(steps, start, halve, lambda s: s["low"])
+    return F.when(F.size(spans) == 0, False).otherwise(F.coalesce(F.get(spans, first)["start"] < run["stop"], F.lit(False)))
+
+
+def _candidate(run: Column, base: list[Column]) -> Column:
     text = run["found"]
-    plain = ~F.exists(base, lambda b: (b["start"] < run["stop"]) & (run["start"] < b["stop"]))
-    return text.rlike("[0-9]") & text.rlike("[A-Za-z]") & plain & ~text.rlike("^(?:" + "|".join(f"(?:{p})" for p in ALLOWED) + ")$")
+    shape = text.rlike("[0-9]") & text.rlike("[A-Za-z]") & ~text.rlike("^(?:" + "|".join(f"(?:{p})" for p in ALLOWED) + ")$")
+    for spans in base:
+        shape = shape & ~_meets(spans, run)
+    return shape
 
 
 def _random(text: Column, c: Classes) -> Column:

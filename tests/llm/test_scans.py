@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -96,3 +97,25 @@ def test_no_python_on_the_main_path(make_docs):
     for scan in (secrets.scan, licenses.scan):
         plan = scan(make_docs((1, "a")))._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_many_matches_in_one_text(make_docs):
+    """30,000 matches, overlapping candidates and free ones: linear work, and the places of all."""
+    rng = random.Random(9)
+    alphabet = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789"
+    parts = []
+    for i in range(30_000):
+        word = "".join(rng.choice(alphabet) for _ in range(8))
+        parts.append(f"token={word}" if i % 3 else f"é password: {word}")
+        if i % 1000 == 0:
+            parts.append("".join(rng.choice(alphabet) for _ in range(30)))
+    text = " ".join(parts)
+    got = secrets.scan(make_docs((1, text), (2, " ".join(parts[:300])))).collect()
+    for r in got:
+        whole = text if r.doc_id == 1 else " ".join(parts[:300])
+        pattern = re.compile(r"(password|token)\x20*[:=]\x20*[A-Za-z0-9]+")
+        spans = [("assign", m.start(), m.end()) for m in pattern.finditer(whole)]
+        assert r.n_assign == len(spans)
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+        free = [s for s in r.spans.split(",") if s.startswith("entropy")]
+        assert all(len(whole[int(a) : int(b)]) == 30 for a, b in (s.split(":")[1:] for s in free)) and len(free) >= len(whole) // 30_000
