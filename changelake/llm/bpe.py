@@ -29,8 +29,8 @@ MAPS = 1 << 16
 BLOCK = 32 << 20
 #: No pair of these bytes is a token; above every rank.
 _NO_RANK = 2**31 - 1
-#: Words have fewer bytes than this.
-_STARTS = 1 << 24
+#: Places within a word take 32 bits; Spark's strings, and so the hex of a word, are shorter.
+_STARTS = 1 << 32
 
 
 @lru_cache(maxsize=4)
