@@ -29,6 +29,11 @@ def narrowed(docs: DataFrame, **columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """Whole rows in one column, `row`, beside the named ones: no name of a given column can clash with those."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[value.alias(name) for name, value in columns.items()])
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from changelake.llm.common import arrow_map, narrowed, stored, text_or_empty
+from changelake.llm.common import arrow_map, narrowed, packed, stored, text_or_empty
 from changelake.llm.texthash import Words, slices, windows
 
 #: Bits of the table that tells most other n-grams from those of the items: a fixed size, whatever the items.
@@ -57,11 +57,14 @@ def align(item: np.ndarray, passage: np.ndarray, s: Settings) -> int:
 
 
 def _bit_table(grams: DataFrame) -> np.ndarray:
-    """Which high bits of `gram` occur, eight to a byte. The driver gets at most 2 ** BITS numbers."""
-    found = grams.select(F.shiftrightunsigned("gram", 64 - BITS).cast("int").alias("bit")).distinct().toPandas()["bit"].to_numpy()
-    table = np.zeros(1 << BITS, bool)
-    table[found] = True
-    return np.packbits(table, bitorder="little")
+    """Which high bits of `gram` occur, eight to a byte. Built by Spark; the driver gets 2 ** BITS bits in pieces of 4 KB."""
+    bit = F.shiftrightunsigned("gram", 64 - BITS) + 1  # buckets of bits count from 1
+    pieces = grams.groupBy(F.bitmap_bucket_number(bit).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    table = np.zeros(1 << (BITS - 3), np.uint8)
+    for row in pieces.toLocalIterator():
+        bits = np.frombuffer(row["bits"], np.uint8)
+        table[(row["piece"] - 1) * len(bits) : row["piece"] * len(bits)] = bits
+    return table
 
 
 def _hits(w: Words, table: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +212,10 @@ def _passages(docs: DataFrame, table: np.ndarray, reach: int, s: Settings) -> Da
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The rows of `docs` (doc_id, text and any others) whose text holds no test item."""
+    """The rows of `docs` (doc_id, text and any others) whose text holds no test item.
+
+    Null and empty texts stay, and so do repeated rows; other columns come back as they are, whatever their names. Without
+    items all rows stay; an empty table stays empty.
+    """
     bad = stored(contaminated(docs, items, s).select("text_key").distinct(), "decontam-bad")
-    key = "__text_key__"
-    return docs.withColumn(key, F.unhex(F.md5(text_or_empty()))).join(bad.select(F.col("text_key").alias(key)), key, "left_anti").select(*docs.columns)
+    return packed(docs, text_key=F.unhex(F.md5(text_or_empty()))).join(bad, "text_key", "left_anti").select("row.*")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from changelake.llm.common import stored, text_or_empty
+from changelake.llm.common import packed, stored, text_or_empty
 
 #: Sketches of 2 ** LG_K registers: a standard error of 1.04 / sqrt(2 ** LG_K), 1.6 per cent.
 LG_K = 12
@@ -89,15 +89,18 @@ def _kept_text() -> Column:
 def without_boilerplate(docs: DataFrame, min_sites: int = 10) -> DataFrame:
     """The rows and columns of `docs` (doc_id, text, source and any others) with boilerplate lines removed from text.
 
-    If there is a column n_chars it is set to the new length. All rows stay, also those whose text becomes empty.
+    If there is a column n_chars it is set to the new length. All rows stay, also those whose text becomes empty; null texts come
+    back empty or null as they are, repeated rows as often as they stand there, other columns unchanged whatever
+    their names. An empty table stays empty.
     """
     named = _named(docs, "doc_id", "text", "source")
     removed = _removed(named, min_sites)
-    keyed = docs.withColumn("__row_key__", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("-")), F.lit("|"), text_or_empty()))))
-    joined = keyed.join(removed.select(F.col("row_key").alias("__row_key__"), "removed"), "__row_key__", "left").withColumn("text", _kept_text())
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("-")), F.lit("|"), text_or_empty())))
+    joined = packed(docs, row_key=key, text=F.col("text")).join(removed.select("row_key", "removed"), "row_key", "left").withColumn("text", _kept_text())
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.select(*docs.columns)
+        changed["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 #: DuckDB twin of dedup_lines at its defaults.

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from changelake.llm.classes import connected_classes
-from changelake.llm.common import arrow_map, stored, text_or_empty
+from changelake.llm.common import arrow_map, packed, stored, text_or_empty
 from changelake.llm.texthash import Words, mix, slices, windows
 
 #: Document frequencies are counted by this many hash buckets: a fixed size, whatever the corpus.
@@ -82,8 +83,8 @@ def document_frequency(texts: DataFrame, s: Settings) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([n], pa.int64())], names=["bucket", "n"])
 
     counted = arrow_map(texts, count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = counted.toPandas()  # DF_BUCKETS + 1 rows at most
-    buckets, n = got["bucket"].to_numpy(), got["n"].to_numpy(np.float64)
+    got = counted.toArrow()  # DF_BUCKETS + 1 rows at most
+    buckets, n = got["bucket"].to_numpy(), got["n"].to_numpy().astype(np.float64)
     size = float(n[buckets == -1].sum())
     df = np.zeros(DF_BUCKETS)
     df[buckets[buckets >= 0]] = n[buckets >= 0]
@@ -101,18 +102,21 @@ class Side:
     texts: pa.Array
 
 
+@lru_cache(maxsize=1)
+def _random_tables(seed: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """r, log c, beta and the mark of each of k samples. Made from the seed where they are used, so that 20 MB of them are never sent."""
+    draw = np.random.Generator(np.random.PCG64(seed))
+    shape = (RANDOM_ROWS, k)
+    r = draw.gamma(2.0, 1.0, shape).astype(np.float32)
+    log_c = np.log(draw.gamma(2.0, 1.0, shape)).astype(np.float32)
+    return r, log_c, draw.random(shape, np.float32), mix(np.arange(1, k + 1, dtype=np.uint64))
+
+
 class Sampler:
     """Improved consistent weighted sampling; the random numbers of a shingle are a row of fixed tables, picked by its hash."""
 
     def __init__(self, idf: np.ndarray, s: Settings):
         self.idf, self.s = idf, s
-        k = s.bands * s.rows
-        draw = np.random.Generator(np.random.PCG64(s.seed))
-        shape = (RANDOM_ROWS, k)
-        self.r = draw.gamma(2.0, 1.0, shape).astype(np.float32)
-        self.log_c = np.log(draw.gamma(2.0, 1.0, shape)).astype(np.float32)
-        self.beta = draw.random(shape, np.float32)
-        self.column = mix(np.arange(1, k + 1, dtype=np.uint64))
 
     def weights(self, found: np.ndarray, times: np.ndarray) -> np.ndarray:
         return times * self.idf[(found & np.uint64(DF_BUCKETS - 1)).astype(np.int64)]
@@ -121,6 +125,7 @@ class Sampler:
         """A key for each text and band; -1 rows for texts without words are left to the caller."""
         s = self.s
         doc, found, times = shingles(texts, s.words)
+        table_r, table_log_c, table_beta, column = _random_tables(s.seed, s.bands * s.rows)
         log_w = np.log(self.weights(found, times)).astype(np.float32)
         pick = (mix(found) >> np.uint64(64 - 14)).astype(np.int64)
         cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
@@ -130,13 +135,13 @@ class Sampler:
             for low in range(cuts[i], cuts[i + 1], 4_096):  # bounds the memory for very long texts
                 high = min(low + 4_096, cuts[i + 1])
                 at = pick[low:high]
-                r, beta = self.r[at], self.beta[at]
+                r, beta = table_r[at], table_beta[at]
                 t = np.floor(log_w[low:high, None] / r + beta)
-                log_a = self.log_c[at] - r * (t - beta) - r
+                log_a = table_log_c[at] - r * (t - beta) - r
                 arg = np.argmin(log_a, axis=0)
                 columns = np.arange(len(arg))
                 value = log_a[arg, columns]
-                sample = mix(found[low:high][arg]) + mix((t[arg, columns]).astype(np.int64).view(np.uint64) + self.column)
+                sample = mix(found[low:high][arg]) + mix((t[arg, columns]).astype(np.int64).view(np.uint64) + column)
                 if best is None:
                     best, samples[i] = value, sample
                 else:
@@ -316,11 +321,12 @@ def _labels(members: DataFrame, classes: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The rows of `docs` (doc_id, text and any others) without near-duplicates: of each class the row of smallest id stays.
 
-    Rows without an id go if their class has an id, else one of them stays; of equal rows one stays.
+    Rows without an id go if their class has an id, else one of them stays; of equal rows one stays. A null text counts as empty, and
+    rows without text are one class. Other columns come back as they are, whatever their names. An empty table stays empty.
     """
     labelled = _labelled(docs.select("doc_id", F.col("text").cast("string").alias("text")), s)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    keepers = stored(labelled.groupBy("class_key").agg(first).select(F.col("first.doc_id").alias("__id__"), F.col("first.key").alias("__key__")), "neardup-keepers")
-    keyed = docs.withColumn("__text_key__", F.unhex(F.md5(text_or_empty())))
-    kept = keyed.join(keepers, (F.col("__text_key__") == F.col("__key__")) & F.col("doc_id").eqNullSafe(F.col("__id__")), "left_semi")
-    return kept.dropDuplicates(["__text_key__"]).select(*docs.columns)
+    keepers = stored(labelled.groupBy("class_key").agg(first).select(F.col("first.doc_id").alias("id"), F.col("first.key").alias("key")), "neardup-keepers")
+    keyed = packed(docs, text_key=F.unhex(F.md5(text_or_empty())), doc_id=F.col("doc_id"))
+    kept = keyed.join(keepers, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    return kept.dropDuplicates(["text_key"]).select("row.*")

@@ -69,10 +69,15 @@ class _Known:
 
     def __init__(self, features: np.ndarray):
         self.features = features
-        self.bits = np.zeros(1 << _FILTER_BITS, bool)
-        self.bits[(features >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+        self.bits: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return {"features": self.features, "bits": None}  # the table is made where it is used
 
     def find(self, doc: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.bits is None:
+            self.bits = np.zeros(1 << _FILTER_BITS, bool)
+            self.bits[(self.features >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
         passed = np.flatnonzero(self.bits[(feature >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
         doc, feature = doc[passed], feature[passed]
         at = np.searchsorted(self.features, feature)
@@ -191,15 +196,16 @@ def train_chain(
                 )
 
     schema = "fold int, at array<int>, " + ", ".join(f"y{i} int" for i in range(c))
-    got = arrow_map(sample, rows_of, schema).collect()
+    got = arrow_map(sample, rows_of, schema).toArrow().combine_chunks()  # as columns: no object for each number
     n, size = len(got), len(features)
-    doc = np.repeat(np.arange(n), [len(r["at"]) for r in got]).astype(np.int64)
-    feature = np.array([x for r in got for x in r["at"]], np.int64)
-    fold = np.array([r["fold"] for r in got], np.int64)
+    lists = pc.list_value_length(got["at"]).to_numpy()
+    doc = np.repeat(np.arange(n), lists).astype(np.int64)
+    feature = pc.list_flatten(got["at"]).to_numpy().astype(np.int64)
+    fold = got["fold"].to_numpy().astype(np.int64)
     earlier = np.zeros((n, 0))
     weights = []
     for i in range(c):
-        y = np.array([r[f"y{i}"] for r in got], float)
+        y = got[f"y{i}"].to_numpy().astype(float)
         held_out = np.zeros(n)
         for k in range(folds):
             rows_in, rows_out = fold != k, fold == k
