@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from changelake.llm.classes import connected_classes
 from changelake.llm.common import arrow_map, packed, stored, text_or_empty
-from changelake.llm.texthash import Words, mix, slices, windows
+from changelake.llm.texthash import SMALL_SLICE, Words, mix, slices, windows
 
 #: Document frequencies are counted by this many hash buckets: a fixed size, whatever the corpus.
 DF_BUCKETS = 1 << 18
@@ -75,7 +75,7 @@ def document_frequency(texts: DataFrame, s: Settings) -> np.ndarray:
         total, n = np.zeros(DF_BUCKETS, np.int64), 0
         for batch in batches:
             n += len(batch)
-            for at, to in slices(batch.column(0)):
+            for at, to in slices(batch.column(0), SMALL_SLICE):
                 _, found, _ = shingles(batch.column(0).slice(at, to - at), s.words)
                 total += np.bincount((found & np.uint64(DF_BUCKETS - 1)).astype(np.int64), minlength=DF_BUCKETS)
         used = np.flatnonzero(total)
@@ -235,7 +235,7 @@ def similar_texts(keyed: DataFrame, s: Settings) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to in slices(batch.column(1)):
+            for at, to in slices(batch.column(1), SMALL_SLICE):
                 part = batch.slice(at, to - at)
                 some = pa.array(Words(part.column(1)).counts() > 0)
                 part = part.filter(some)

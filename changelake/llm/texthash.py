@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 BLOCK = 1 << 20
 #: Bytes of text that `slices` hands out at once; a longer text comes alone.
 SLICE = 4 << 20
+#: The same for operators that make many numbers of a word.
+SMALL_SLICE = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, bool)

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from changelake.llm.common import arrow_map, narrowed, stored
-from changelake.llm.texthash import Words, mix, slices
+from changelake.llm.texthash import SMALL_SLICE, Words, mix, slices
 
 #: Lengths in bytes of the word beginnings used as features.
 BEGINNINGS = (4, 5, 6, 7)
@@ -160,7 +160,7 @@ def train_chain(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ys = np.stack([batch.column(2 + i).to_numpy() for i in range(c)])
-            for at, to in slices(batch.column(1)):
+            for at, to in slices(batch.column(1), SMALL_SLICE):
                 doc, feature = text_features(batch.column(1).slice(at, to - at))
                 keys, index = np.unique(feature, return_inverse=True)
                 by = [np.bincount(index, y[at:to][doc], len(keys)).astype(np.int64) for y in ys]
@@ -185,7 +185,7 @@ def train_chain(
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to in slices(batch.column(1)):
+            for at, to in slices(batch.column(1), SMALL_SLICE):
                 part = batch.slice(at, to - at)
                 doc, index = known.find(*text_features(part.column(1)))
                 order = np.argsort(doc, kind="stable")
@@ -251,7 +251,7 @@ def score_chain(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col: s
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col) if keep else 1)
-            for at, to in slices(texts):
+            for at, to in slices(texts, SMALL_SLICE):
                 doc, index = known.find(*text_features(texts.slice(at, to - at)))
                 p = chain.probabilities(doc, index, to - at)
                 toxic = p[-1] >= threshold
