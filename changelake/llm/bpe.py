@@ -1,10 +1,10 @@
 """Byte-level BPE: encoding by folding ranked merges over the bytes of distinct words, decoding by joining binary pieces.
 
-Encoding runs in three steps of one stage, without a shuffle. An Arrow function splits a block of documents into the pattern's
-words and keeps each distinct one once. Spark's higher-order functions fold the merges over each of those: the fold's state is the
-list of byte runs with the rank of every adjacent pair, and each step merges the leftmost pair of lowest rank. The ranks are a
-literal in the plan; as a look-up in a Spark map scans its entries, the literal is an array of small maps, picked by the hash of
-the bytes. A last Arrow function puts the ids of the words in document order.
+An Arrow function splits a block of documents into the pattern's words and keeps each distinct one once; the blocks are written.
+Spark's higher-order functions fold the merges over distinct words: the fold's state is the list of byte runs with the rank of every
+adjacent pair, and each step merges the leftmost pair of lowest rank. The ranks are a literal in the plan; as a look-up in a
+Spark map scans its entries, the literal is an array of small maps, picked by the hash of the bytes. Words that stand in most blocks
+are folded once and shipped, COMMON of them at most; each block folds its other words. A last Arrow function puts the ids in document order.
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from changelake.llm.common import arrow_map, narrowed
+from changelake.llm.common import arrow_map, narrowed, stored
 from changelake.llm.texthash import slices
 
 #: Small maps that the ranks are dealt over.
@@ -29,7 +30,12 @@ MAPS = 1 << 16
 BLOCK = 32 << 20
 #: No pair of these bytes is a token; above every rank.
 _NO_RANK = 2**31 - 1
-#: Places within a word take 32 bits; Spark's strings, and so the hex of a word, are shorter.
+#: Words that are folded once for all blocks, and their bytes, at most; both bound what is shipped, neither changes a result.
+COMMON = 1 << 19
+COMMON_BYTES = 32
+#: Runs of a word up to which a position is found by counting.
+SHORT_LIST = 256
+#: Places within a word take 32 bits; Spark's binaries are shorter.
 _STARTS = 1 << 32
 
 
@@ -41,7 +47,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def _spark_hash(keys: list[bytes]) -> np.ndarray:
-    """Spark's hash() (Murmur3, 32 bits, seed 42) of strings of an even number of ASCII characters."""
+    """Spark's hash() (Murmur3, 32 bits, seed 42) of binaries."""
     out = np.empty(len(keys), np.int64)
     for i, key in enumerate(keys):
         h = 42
@@ -64,64 +70,76 @@ def _spark_hash(keys: list[bytes]) -> np.ndarray:
 @lru_cache(maxsize=4)
 def _rank_json(path: str) -> str:
     ranks = read_ranks(path)
-    keys = [token.hex().upper() for token in ranks]
+    keys = [token.hex() for token in ranks]
     maps: list[dict[str, int]] = [{} for _ in range(MAPS)]
-    for key, at, rank in zip(keys, (_spark_hash([k.encode() for k in keys]) % MAPS).tolist(), ranks.values(), strict=True):
+    for key, at, rank in zip(keys, (_spark_hash(list(ranks)) % MAPS).tolist(), ranks.values(), strict=True):
         maps[at][key] = rank
     return json.dumps(maps, separators=(",", ":"))
 
 
 def _rank_of(table: Column, run: Column) -> Column:
-    """Rank of a run of bytes in hex, or null. A map's absent key gives null."""
+    """Rank of a run of bytes, or null. A map's absent key gives null."""
     return F.element_at(F.get(table, F.pmod(F.hash(run), F.lit(MAPS))), run)
 
 
-def encode_word(text: Column, table: Column) -> Column:
-    """Ids of one word, given as the hex of its bytes, as array<int>. The work grows with the square of a word's length.
+def encode_word(word: Column, table: Column, longest: int) -> Column:
+    """Ids of one word, a binary, as array<int>; longest is the number of bytes of the longest token.
 
     The fold's state is one number for each run of bytes: the rank of the pair it forms with the next run, then where it starts.
-    So the least number is the leftmost pair of lowest rank.
+    So the least number is the leftmost pair of lowest rank. A step puts the list together from the parts before and after that
+    pair, which are copied as they are, and looks up the two pairs that are new. The steps are as many as the bytes.
     """
-    size = F.length(text) / 2
+    size = F.length(word)
     start_of = lambda code: code.bitwiseAND(_STARTS - 1).cast("int")
-    run = lambda begin, end: F.substring(text, 2 * begin - 1, 2 * (end - begin))
-    end = size.cast("int") + 1
+    run = lambda begin, until: F.substring(word, begin, until - begin)
+    end = size + 1
+    no_pair = F.lit(_NO_RANK * _STARTS)
 
     def code(begin: Column, until: Column) -> Column:
-        rank = F.coalesce(_rank_of(table, run(begin, until)), F.lit(_NO_RANK)).cast("bigint")
-        return rank * _STARTS + begin
+        known = F.when(until - begin <= longest, _rank_of(table, run(begin, until)))
+        return F.coalesce(known, F.lit(_NO_RANK)).cast("bigint") * _STARTS + begin
 
     def merged(state: Column, i: Column) -> Column:
         """Merge the run at i (from 0) with the next one."""
         start = lambda k: start_of(F.get(state, k))
+        last = F.size(state) == i + 2
         third = F.coalesce(start(i + 2), end)
 
         def changed(old: Column, k: Column) -> Column:
-            alone = F.lit(_NO_RANK * _STARTS) + start_of(old)  # the last run has no pair
-            with_next = F.when(F.size(state) > i + 2, code(start_of(old), F.coalesce(start(i + 3), end))).otherwise(alone)
-            gone = F.lit(-1).cast("bigint")
-            return F.when(k > i + 1, old).when(k < i - 1, old).when(k == i, with_next).when(k == i + 1, gone).otherwise(code(start_of(old), third))
+            with_next = F.when(last, no_pair + start_of(old)).otherwise(code(start_of(old), F.coalesce(start(i + 3), end)))
+            return F.when((k > i + 1) | (k < i - 1), old).when(k == i, with_next).when(k < i, code(start_of(old), third))
 
-        return F.array_remove(F.transform(state, changed), F.lit(-1).cast("bigint"))
+        return F.array_compact(F.transform(state, changed))
+
+    def place(state: Column, lowest: Column) -> Column:
+        """Position (from 0) of a number of the state. The list is in order of the starts, so in a short one those before it are
+        counted: array_position leaves its loop by an exception, which costs more than all the rest of a step."""
+        before = lambda code: code.bitwiseAND(_STARTS - 1) < lowest.bitwiseAND(_STARTS - 1)
+        found = (F.array_position(state, lowest) - 1).cast("int")
+        return F.when(F.size(state) > SHORT_LIST, found).otherwise(F.size(F.filter(state, before)))
 
     def step(state: Column, _: Column) -> Column:
-        # a fold over one element gives the position a name, so that it is found once
-        at = F.array((F.array_position(state, F.array_min(state)) - 1).cast("int"))
-        return F.aggregate(at, state, lambda s, i: F.when(F.get(s, i) < _NO_RANK * _STARTS, merged(s, i)).otherwise(s))
+        # a fold over one element gives a value a name, so that it is found once
+        merge = lambda s, lowest: F.aggregate(F.array(place(s, lowest)), s, merged)
+        return F.aggregate(F.array(F.array_min(state)), state, lambda s, lowest: F.when(lowest < no_pair, merge(s, lowest)).otherwise(s))
 
-    bytes_of = F.sequence(F.lit(1), size.cast("int"))
-    state = F.transform(bytes_of, lambda i: F.when(i + 1 < end, code(i, i + 2)).otherwise(F.lit(_NO_RANK * _STARTS) + i))
+    state = F.transform(F.sequence(F.lit(1), size), lambda i: F.when(i + 1 < end, code(i, i + 2)).otherwise(no_pair + i))
     ids = lambda s: F.transform(s, lambda v, k: _rank_of(table, run(start_of(v), F.coalesce(start_of(F.get(s, k + 1)), end))))
-    whole = _rank_of(table, text)
-    return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.aggregate(F.sequence(F.lit(2), size.cast("int")), state, step, ids))
+    whole = _rank_of(table, word)
+    return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.aggregate(F.sequence(F.lit(2), size), state, step, ids))
 
 
 def encode_words(words: Column, ranks: str) -> Column:
-    """Ids of each word of a list of binaries, as array<array<int>>; ranks is the path of the rank file."""
-    table = F.from_json(F.lit(_rank_json(ranks)), "array<map<string,int>>")
+    """Ids of each word of a list of binaries, as array<array<int>>; ranks is the path of the rank file.
+
+    The literal holds the tokens in hex, as JSON has no bytes; they become binaries once for each list of words.
+    """
+    literal = F.from_json(F.lit(_rank_json(ranks)), "array<map<string,int>>")
+    table = F.transform(literal, lambda tokens: F.transform_keys(tokens, lambda token, _: F.unhex(token)))
+    longest = max(map(len, read_ranks(ranks)), default=0)
     none = F.array().cast("array<array<int>>")
-    # a fold over one element names the literal, so that the plan holds it once
-    return F.aggregate(F.array(table), none, lambda _, named: F.transform(F.transform(words, F.hex), lambda text: encode_word(text, named)))
+    # a fold over one element names the table, so that it is made once
+    return F.aggregate(F.array(table), none, lambda _, named: F.transform(words, lambda word: encode_word(word, named, longest)))
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,31 +182,75 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
         if ids:
             yield block()
 
+    narrow = narrowed(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
+    blocks = stored(arrow_map(narrow, split, "ids array<bigint>, sizes array<int>, word_index binary, words array<binary>"), "bpe-blocks", "zstd")
+    common = common_words(blocks.select("words"), ranks)
+    shared_cuts, shared_ids = common.column("ids").offsets.to_numpy(), common.column("ids").values.to_numpy(zero_copy_only=False)
+    shared_words = common.column("word")
+
+    def leave_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                words = batch.column(3)[row].values
+                place = pc.fill_null(pc.index_in(words, value_set=shared_words), -1).to_numpy().astype(np.int32)
+                rest = words.filter(pa.array(place < 0))
+                lists = pa.ListArray.from_arrays(pa.array([0, len(rest)], pa.int32()), rest)
+                columns = [c.slice(row, 1) for c in batch.columns[:3]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([place.tobytes()], pa.binary()), lists], names=["ids", "sizes", "word_index", "place", "words"])
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
                 keys, sizes = batch.column(0)[row].values, batch.column(1)[row].values.to_numpy()
-                index = np.frombuffer(batch.column(2)[row].as_buffer(), np.int32)
-                coded = batch.column(3)[row].values
-                cuts, flat = coded.offsets.to_numpy(), coded.values.to_numpy(zero_copy_only=False)
+                index, place = (np.frombuffer(batch.column(c)[row].as_buffer(), np.int32) for c in (2, 3))
+                coded = batch.column(4)[row].values
+                cuts = coded.offsets.to_numpy()
+                flat = np.concatenate([shared_ids, coded.values.to_numpy(zero_copy_only=False)])
+                begin, size = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
+                own = place < 0
+                begin[~own], size[~own] = shared_cuts[place[~own]], np.diff(shared_cuts)[place[~own]]
+                begin[own], size[own] = cuts[:-1] + len(shared_ids), np.diff(cuts)
                 ends = np.cumsum(sizes)
                 for low in range(0, len(sizes), 256):
                     high = min(low + 256, len(sizes))
                     part = index[ends[low] - sizes[low] : ends[high - 1]]
-                    lengths = cuts[part + 1] - cuts[part]
+                    lengths = size[part]
                     total = np.concatenate([[0], np.cumsum(lengths)])
-                    tokens = flat[np.repeat(cuts[part] - total[:-1], lengths) + np.arange(total[-1])].astype("<i4")
+                    tokens = flat[np.repeat(begin[part] - total[:-1], lengths) + np.arange(total[-1])].astype("<i4")
                     bounds = total[np.concatenate([[0], np.cumsum(sizes[low:high])])].astype(np.int32)
                     digests = [hashlib.sha256(tokens[a:b].tobytes()).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                     lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(tokens, pa.int32()))
                     yield pa.RecordBatch.from_arrays([keys[low:high], lists, pa.array(digests)], names=["doc_id", "ids", "ids_sha256"])
 
-    narrow = narrowed(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
-    blocks = arrow_map(narrow, split, "ids array<bigint>, sizes array<int>, word_index binary, words array<binary>")
-    coded = blocks.select("ids", "sizes", "word_index", encode_words(F.col("words"), ranks).alias("coded"))
+    others = arrow_map(blocks, leave_common, "ids array<bigint>, sizes array<int>, word_index binary, place binary, words array<binary>")
+    coded = others.select("ids", "sizes", "word_index", "place", encode_words(F.col("words"), ranks).alias("coded"))
     return arrow_map(coded, join, "doc_id bigint, ids array<int>, ids_sha256 string")
 
 
+def common_words(blocks: DataFrame, ranks: str) -> pa.RecordBatch:
+    """Words that stand in most blocks (one column, words: a list of distinct ones per block) with their ids: word, ids.
+
+    Words of more than one block and of COMMON_BYTES bytes at most, counted over all blocks; those above a count that leaves COMMON words
+    or fewer. The cut comes from a histogram of the counts, some hundred rows. No blocks give no rows.
+    """
+    word = blocks.select(F.explode("words").alias("word")).where(F.length("word") <= COMMON_BYTES)
+    steps = F.floor(F.log2("n") * 8).cast("int").alias("step")
+    counted = stored(word.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").select("word", steps), "bpe-words")
+    kept, cut = 0, None
+    for step, n in sorted(counted.groupBy("step").count().toLocalIterator(), reverse=True):
+        kept += n
+        if kept > COMMON:
+            break
+        cut = step
+    chosen = counted.where(F.col("step") >= cut) if cut is not None else counted.limit(0)
+    lists = chosen.groupBy(F.pmod(F.hash("word"), F.lit(48)).alias("part")).agg(F.sort_array(F.collect_list("word")).alias("words"))
+    pairs = lists.repartition(48, "part").select(F.explode(F.arrays_zip("words", encode_words(F.col("words"), ranks).alias("ids"))).alias("pair"))
+    table = stored(pairs.select("pair.words", "pair.ids"), "bpe-common").toArrow().combine_chunks()
+    types = (pa.binary(), pa.list_(pa.int32()))
+    columns = [pa.concat_arrays(c.chunks).cast(t) if c.num_chunks else pa.array([], t) for c, t in zip(table.columns, types, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=["word", "ids"])
+
+
 def decode(ids: Column, ranks: str) -> Column:
     """Bytes of a list of ids: their binary pieces one after the other. Null for a null list or an unknown id."""
     pieces: list[str] = [""] * (max(read_ranks(ranks).values(), default=-1) + 1)

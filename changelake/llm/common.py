@@ -13,14 +13,14 @@ import changelake
 from changelake.session import scratch_dir
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
+def stored(frame: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write a frame under the cluster's shared checkpoint folder and read it back.
 
     Cuts the lineage like checkpoint(), in columns, so that lost executors repeat no earlier step and a later
     join sees measured sizes and can split a hot key.
     """
     path = scratch_dir(frame.sparkSession, name)
-    frame.write.parquet(path)
+    frame.write.parquet(path, compression=codec)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

@@ -52,3 +52,14 @@ def test_every_token_is_reached_by_merges(spark, encoding):
     some = sorted(bpe.read_ranks(PATH).items(), key=lambda x: x[1])[::97]
     frame = spark.createDataFrame([([bytearray(k) for k, _ in some],)], "words array<binary>")
     assert frame.select(bpe.encode_words(F.col("words"), PATH)).first()[0] == [[v] for _, v in some]
+
+
+def test_words_common_to_many_blocks(make_docs, encoding):
+    """Each partition makes a block of its own, so the words of the first list are folded once for all and the others by their block."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeéß日") for _ in range(rng.randint(1, 40)))
+    common = [word() for _ in range(50)]
+    texts = [" ".join(rng.choice(common) if rng.random() < 0.7 else word() for _ in range(60)) for _ in range(80)]
+    docs = make_docs(*enumerate(texts)).repartition(6, "doc_id")
+    got = {r.doc_id: r.ids for r in bpe.encode(docs, PATH, public_tokenizers.PATTERN).collect()}
+    assert got == {i: encoding.encode_ordinary(t) for i, t in enumerate(texts)}
