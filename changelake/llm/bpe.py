@@ -26,8 +26,8 @@ from changelake.llm.texthash import slices
 
 #: Small maps that the ranks are dealt over.
 MAPS = 1 << 16
-#: Bytes of text that share one list of distinct words.
-BLOCK = 32 << 20
+#: Characters of text that share one list of distinct words; a longer text comes alone.
+BLOCK = 8 << 20
 #: No pair of these bytes is a token; above every rank.
 _NO_RANK = 2**31 - 1
 #: Words that are folded once for all blocks, and their bytes, at most; both bound what is shipped, neither changes a result.
@@ -148,7 +148,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     ranks: path of the rank file, read on the driver. pattern: a regular expression whose matches are encoded one by one; text
     between matches is left out, as the usual patterns match everything. No special tokens. One row per input row, in any
     order; null and empty texts have no ids. Repeated rows, null ids and extra columns do no harm. Every block of text is
-    kept to BLOCK bytes or one document.
+    ended by the document that fills BLOCK characters. The blocks are written under the checkpoint folder.
     """
     find = regex.compile(pattern).findall
 
