@@ -113,7 +113,7 @@ def encode_word(word: Column, table: Column, longest: int) -> Column:
 
     def place(state: Column, lowest: Column) -> Column:
         """Position (from 0) of a number of the state. The list is in order of the starts, so in a short one those before it are
-        counted: array_position leaves its loop by an exception, which costs more than all the rest of a step."""
+        counted; what this saves over array_position was not measured by itself."""
         before = lambda code: code.bitwiseAND(_STARTS - 1) < lowest.bitwiseAND(_STARTS - 1)
         found = (F.array_position(state, lowest) - 1).cast("int")
         return F.when(F.size(state) > SHORT_LIST, found).otherwise(F.size(F.filter(state, before)))
