@@ -2,6 +2,8 @@
 
 from changelake.functions.scalars import (
     empty_list,
+    escape_text,
+    escaped_marks_to_letters,
     has_prefix,
     join_list,
     narrow,
@@ -19,6 +21,8 @@ from changelake.functions.scalars import (
 
 __all__ = [
     "empty_list",
+    "escape_text",
+    "escaped_marks_to_letters",
     "has_prefix",
     "join_list",
     "narrow",

@@ -135,3 +135,25 @@ def unescape_text(text: str | Column) -> Column:
         return F.regexp_replace(part, r"(?s)\\(.)", "$1")
 
     return F.array_join(F.transform(F.split(_col(text), r"\\\\", -1), piece), "\\")
+
+
+def escape_text(text: str | Column, marks: bool = False) -> Column:
+    """Backslash escapes of a text export; ``unescape_text`` undoes them.
+
+    With ``marks`` a tab or line feed stays as it is behind a backslash, as database exports write it, instead of becoming a letter.
+    """
+    text = F.replace(_col(text), F.lit("\\"), F.lit("\\\\"))
+    for code, char in ESCAPES.items():
+        text = F.replace(text, F.lit(char), F.lit("\\" + (char if marks and char in "\t\n" else code)))
+    return text
+
+
+def escaped_marks_to_letters(text: str | Column) -> Column:
+    """Escaped tabs and line feeds as letters, after which a tab ends a cell and a line feed a record."""
+
+    def piece(part: Column) -> Column:
+        for code in "tn":
+            part = F.replace(part, F.lit("\\" + ESCAPES[code]), F.lit("\\" + code))
+        return part
+
+    return F.array_join(F.transform(F.split(_col(text), r"\\\\", -1), piece), "\\\\")

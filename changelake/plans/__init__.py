@@ -5,6 +5,7 @@ from changelake.plans import (  # noqa: F401  (importing registers the queries)
     changing,
     decoding,
     files,
+    maintaining,
     monitoring,
     querylogs,
     reconciling,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column as SqlColumn, DataFrame, SparkSession, functions as F, types as T
@@ -36,18 +37,33 @@ def arranged(log: DataFrame, spec: TableSpec, layout: str = "range") -> DataFram
 
 #: Column of the folders that statements and stream batches write to; each write has one of its own.
 LOG_PART = "log_part"
+#: Parts that replace months of others are called this and a number; they count once the table below names them.
+REWRITE = "rewrite-"
+#: Under the log: which month of which part a rewrite replaced. One file for each rewrite, which appears at once.
+PUBLISHED = "_rewrites/published"
+PUBLISHED_SCHEMA = "part string, replaced_part string, replaced_month int"
 
 
 def append_log(
-    log: DataFrame, path: str, spec: TableSpec, layout: str | None = "range", rows_per_file: int = 0, part: str | None = None
+    log: DataFrame,
+    path: str,
+    spec: TableSpec,
+    layout: str | None = "range",
+    rows_per_file: int = 0,
+    part: str | None = None,
+    bloom: Sequence[str] = (),
 ) -> None:
     """Append to a stored log, also to one that a stream writes to. Without a layout rows are written as they come.
 
     ``part`` names the write: a second one of the same name replaces the first, so a repeated stream batch adds nothing.
+    ``bloom`` names columns that get a Parquet Bloom filter for each row group, in place of a dictionary, which would keep the
+    filter from being written. A look-up of one key then reads the row groups that may hold it only, also where key ranges of files overlap.
     """
     rows = arranged(log, spec, layout) if layout else log
     folder = f"{path.rstrip('/')}/{LOG_PART}={part or 'statement-' + uuid.uuid4().hex}"
-    rows.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("yyyymm").parquet(folder)
+    options = {f"parquet.bloom.filter.enabled#{c}": "true" for c in bloom} | {f"parquet.enable.dictionary#{c}": "false" for c in bloom}
+    writer = rows.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).options(**options)
+    writer.partitionBy("yyyymm").parquet(folder)
 
 
 def save_bucketed(rows: DataFrame, name: str, keys: tuple[str, ...], buckets: int) -> None:
@@ -61,9 +77,40 @@ def save_bucketed(rows: DataFrame, name: str, keys: tuple[str, ...], buckets: in
 
 
 def read_log(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
-    """All statements and finished stream batches. Schema comes from the spec: no inference, and an empty log reads as empty."""
+    """All statements and finished stream batches. Schema comes from the spec: no inference, and an empty log reads as empty.
+
+    Months that a rewrite replaced are not read.
+    """
+    return visible_rows(spark, path, spec).drop(LOG_PART)
+
+
+def folder_name(part: str | SqlColumn, month: str | SqlColumn) -> SqlColumn:
+    """Name of one month of one part, as an expression over the partition columns, so that it picks folders before they are read."""
+    return F.concat_ws("/", part, F.col(month).cast("string") if isinstance(month, str) else month)
+
+
+def visible_rows(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
+    """Rows of the log with the part they stand in, without replaced months and unpublished rewrites.
+
+    The list of replaced folders is read by the driver, which lists the folders themselves for any read of the log.
+    """
     schema = T.StructType([*spec.log_schema.fields, T.StructField(LOG_PART, T.StringType())])
-    return spark.read.schema(schema).parquet(path).drop(LOG_PART)
+    rows = spark.read.schema(schema).parquet(path)
+    table = published(spark, path)
+    if table is None:
+        return rows.where(F.coalesce(~F.col(LOG_PART).startswith(REWRITE), F.lit(True)))
+    replaced = table.collect()
+    parts, gone = {r.part for r in replaced}, [f"{r.replaced_part}/{r.replaced_month}" for r in replaced]
+    shown = ~F.col(LOG_PART).startswith(REWRITE) | F.col(LOG_PART).isin(list(parts))
+    return rows.where(F.coalesce(shown & ~folder_name(LOG_PART, "yyyymm").isin(gone), F.lit(True)))
+
+
+def published(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table of rewrites, or None if there was none yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{PUBLISHED}")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.schema(PUBLISHED_SCHEMA).parquet(folder.toString())
 
 
 def reset(spark: SparkSession, path: str, schema: T.StructType) -> None:

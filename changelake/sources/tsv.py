@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column as SqlColumn, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column as SqlColumn, DataFrame, SparkSession, Window, functions as F, types as T
 
-from changelake.functions import join_list, null_if, unescape_text
+from changelake.functions import escape_text, escaped_marks_to_letters, join_list, null_if, unescape_text
 from changelake.operators.ranks import ranked
 from changelake.operators.reconcile import random_keys
 from changelake.specs import TableSpec
@@ -28,6 +28,39 @@ def _lines(spark: SparkSession, path: str | Sequence[str], header: bool) -> Data
     return reader.option("header", str(header).lower()).option("enforceSchema", "true").csv(path)
 
 
+def _records(spark: SparkSession, path: str | Sequence[str], header: bool) -> DataFrame:
+    """Records that may run over lines: a line that ends in an odd number of backslashes goes on in the next one.
+
+    A segmented scan: lines are ordered within the file's splits, which have a bounded size, and what leads from one split to the
+    next goes through a table with one row per split. A record of any number of lines, over any number of splits, is put
+    together under the place of its first line. Blank lines are records. A file that ends in an open line ends that record, whose last backslash stays.
+    """
+    split = ["_file", "_block"]
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"),
+        F.col("value").alias("_line"),
+    )
+    within = Window.partitionBy(*split).orderBy("_at")
+    lines = lines.withColumn("_open", F.length(F.regexp_extract("_line", r"(\\*)$", 1)) % 2 == 1)
+    # the first line of a split has none before it here
+    lines = lines.withColumn("_starts", F.when(~F.lag("_open").over(within), F.col("_at")))
+    lines = lines.withColumn("_inner", F.last("_starts", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+
+    splits = lines.groupBy(*split).agg(F.min("_at").alias("_first"), F.max_by("_open", "_at").alias("_last_open"), F.max("_starts").alias("_last_start"))
+    across = Window.partitionBy("_file").orderBy("_block")
+    splits = splits.withColumn("_own", F.when(~F.coalesce(F.lag("_last_open").over(across), F.lit(False)), F.col("_first")))
+    earlier = F.last(F.coalesce("_last_start", "_own"), ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
+    first_of_file = F.col("_first") == F.first("_first").over(across)
+    splits = splits.select(*split, F.coalesce("_own", earlier).alias("_from"), F.when(first_of_file, F.col("_first")).alias("_header"))
+
+    placed = lines.join(splits, split).withColumn("_record", F.coalesce("_inner", "_from"))
+    if header:
+        placed = placed.filter(~F.col("_record").eqNullSafe(F.col("_header")))
+    parts = F.array_sort(F.collect_list(F.struct("_block", "_at", "_line")))
+    whole = F.array_join(F.transform(parts, lambda p: p["_line"]), "\n")
+    return placed.groupBy("_record").agg(whole.alias("_whole")).select(escaped_marks_to_letters("_whole").alias("line"))
+
+
 def read_tsv(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -36,15 +69,18 @@ def read_tsv(
     null_marker: str = NULL_MARKER,
     unescape: bool = False,
     blank_is_null: Iterable[str] | None = None,
+    records: bool = False,
 ) -> DataFrame:
     """Source rows of ``spec``: list columns stay comma-joined text.
 
     The marker reads as null, a blank stays blank, and a number that does not parse
-    reads as null. ``blank_is_null`` names columns where a blank is null too.
+    reads as null. ``blank_is_null`` names columns where a blank is null too. ``records`` reads cells whose tabs and
+    line feeds are escaped by a backslash, in letters or as they are, and undoes all escapes; blank lines count.
     """
     if blank_is_null is None:
         blank_is_null = BLANK_IS_NULL.get(spec.name, ())
-    lines = _lines(spark, path, header)
+    lines = _records(spark, path, header) if records else _lines(spark, path, header)
+    unescape = unescape or records
     cells = F.split("line", "\t", -1)
     out = []
     for i, column in enumerate(spec.columns):
@@ -74,17 +110,29 @@ def read_tsv_fast(spark: SparkSession, path: str | Sequence[str], spec: TableSpe
     return reader.option("nullValue", null_marker).csv(path)
 
 
-def write_tsv(rows: DataFrame, path: str, null_marker: str = NULL_MARKER, rows_per_file: int | None = None, gzip: bool = False) -> None:
+def write_tsv(
+    rows: DataFrame, path: str, null_marker: str = NULL_MARKER, rows_per_file: int | None = None, gzip: bool = False, escape: str | None = None
+) -> None:
     """Tab-separated text with a header in every file; lists are joined by commas.
 
-    Lines are built as text, so a blank and a null stay apart.
+    Lines are built as text, so a blank and a null stay apart. ``escape="letters"`` writes backslashes, tabs, line feeds and the like
+    as escapes, so that ``read_tsv(..., records=True)`` gives every cell back. ``escape="marks"`` leaves tabs and line feeds
+    behind a backslash, as database exports do, and writes no header.
     """
+    if escape not in (None, "letters", "marks"):
+        raise ValueError(f"unknown escape {escape!r}")
     cells: list[SqlColumn] = []
     for name, kind in rows.dtypes:
         value = join_list(name) if kind.startswith("array") else F.col(name).cast("string")
+        if escape:
+            value = escape_text(value, marks=escape == "marks")
         cells.append(F.coalesce(value, F.lit(null_marker)))
     header = "\t".join(rows.columns)
     lines = rows.select(F.concat_ws("\t", *cells).alias(header))
+    if escape == "marks":
+        limit = {"maxRecordsPerFile": rows_per_file} if rows_per_file else {}
+        lines.write.mode("overwrite").options(**limit).text(path, compression="gzip" if gzip else None)
+        return
     writer = lines.write.mode("overwrite").option("sep", "\u0001").option("header", "true")
     writer = writer.option("quote", "").option("emptyValue", "").option("escape", "")
     writer = writer.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
