@@ -33,6 +33,8 @@ RANDOM_ROWS = 1 << 14
 #: Members of a bucket on one side of a block, and bytes of their texts; a longer text comes alone or with few others.
 BLOCK_MEMBERS = 512
 BLOCK_BYTES = 4 << 20
+#: Sums of weights differ by less than this with the order of their terms.
+ROUNDING = 1e-6
 
 
 @dataclass(frozen=True)
@@ -93,13 +95,15 @@ def document_frequency(texts: DataFrame, s: Settings) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Side:
-    """Members of a bucket; key and label are arrays of bytes, bands one row a member, rest: not in the bucket's largest class."""
+    """Members of a bucket; key and label are arrays of bytes, bands one row a member, rest: not in the bucket's largest class,
+    weight: of all shingles of the text. Texts are there only for the comparison itself."""
 
     key: np.ndarray
     label: np.ndarray
     rest: np.ndarray
     bands: np.ndarray
-    texts: pa.Array
+    weight: np.ndarray
+    texts: pa.Array | None
 
 
 @lru_cache(maxsize=1)
@@ -122,11 +126,16 @@ class Sampler:
         return times * self.idf[(found & np.uint64(DF_BUCKETS - 1)).astype(np.int64)]
 
     def bands(self, texts: pa.Array) -> np.ndarray:
-        """A key for each text and band; -1 rows for texts without words are left to the caller."""
+        """A key for each text and band; texts without words are left to the caller."""
+        return self.signed(texts)[0]
+
+    def signed(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Band keys and the total weight of each text."""
         s = self.s
         doc, found, times = shingles(texts, s.words)
         table_r, table_log_c, table_beta, column = _random_tables(s.seed, s.bands * s.rows)
-        log_w = np.log(self.weights(found, times)).astype(np.float32)
+        weight = self.weights(found, times)
+        log_w = np.log(weight).astype(np.float32)
         pick = (mix(found) >> np.uint64(64 - 14)).astype(np.int64)
         cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
         samples = np.zeros((len(texts), s.bands * s.rows), np.uint64)
@@ -151,10 +160,10 @@ class Sampler:
         out = np.zeros((len(texts), s.bands), np.uint64)
         for j in range(s.rows):
             out = mix(out * np.uint64(31) + samples[:, j :: s.rows])
-        return out
+        return out, np.bincount(doc, weight, len(texts))
 
-    def links(self, band: int, left: Side, right: Side) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of similar texts in different classes, one for each text on the left and class on the right.
+    def open_pairs(self, band: int, left: Side, right: Side) -> np.ndarray:
+        """Which pairs are to be compared: one row for each text on the left, one column for each on the right.
 
         A pair that shares an earlier band too is left to that; of two texts that stand on both sides one order is enough.
         """
@@ -162,6 +171,12 @@ class Sampler:
         open_ &= ~right.rest[None, :] | (left.key[:, None] < right.key[None, :])
         for j in range(band):
             open_ &= left.bands[:, None, j] != right.bands[None, :, j]
+        less, more = np.minimum(left.weight[:, None], right.weight[None, :]), np.maximum(left.weight[:, None], right.weight[None, :])
+        return open_ & (less >= (self.s.threshold - ROUNDING) * more)
+
+    def links(self, band: int, left: Side, right: Side) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of similar texts in different classes, one for each text on the left and class on the right."""
+        open_ = self.open_pairs(band, left, right)
         doc, found, times = shingles(right.texts, self.s.words)
         names, at = np.unique(found, return_inverse=True)
         w = self.weights(found, times)
@@ -240,19 +255,21 @@ def similar_texts(keyed: DataFrame, s: Settings) -> DataFrame:
                 some = pa.array(Words(part.column(1)).counts() > 0)
                 part = part.filter(some)
                 if len(part):
-                    keys = sampler.bands(part.column(1)).view(np.int64)
+                    keys, weight = sampler.signed(part.column(1))
                     cuts = pa.array(np.arange(len(part) + 1, dtype=np.int32) * s.bands)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(cuts, pa.array(keys.ravel()))], names=["key", "bands"])
+                    lists = pa.ListArray.from_arrays(cuts, pa.array(keys.view(np.int64).ravel()))
+                    yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(weight)], names=["key", "bands", "weight"])
 
-    signed = arrow_map(keyed, sign, "key binary, bands array<bigint>")
-    signed = stored(signed.groupBy("key").agg(F.first("bands").alias("bands")), "neardup-bands")
+    signed = arrow_map(keyed, sign, "key binary, bands array<bigint>, weight double")
+    signed = stored(signed.groupBy("key").agg(F.first("bands").alias("bands"), F.first("weight").alias("weight")), "neardup-bands")
     members = signed.select("key", F.posexplode("bands").alias("band", "value"))
     shared = members.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(members.join(stored(shared, "neardup-shared"), ["band", "value"]), "neardup-met")
     # how many others a text meets: the original of many edited copies meets more of them than each of these
     popular = stored(members.groupBy("key").agg(F.sum("n").alias("popular")), "neardup-popular")
     texts = stored(keyed.groupBy("key").agg(F.min("text").alias("text")).join(popular.select("key"), "key", "left_semi"), "neardup-texts")
-    popular = stored(popular.join(texts.select("key", F.octet_length("text").alias("bytes")), "key"), "neardup-sizes")
+    sizes = texts.select("key", F.octet_length("text").alias("bytes"))
+    popular = stored(popular.join(sizes, "key").join(signed.select("key", "weight"), "key"), "neardup-sizes")
     everyone = stored(members.select("band", "value", "key").join(popular, "key"), "neardup-members")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,8 +279,10 @@ def similar_texts(keyed: DataFrame, s: Settings) -> DataFrame:
                 similar = sampler.similarity(part.column(2), part.column(3)) >= s.threshold
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(similar)], names=["a", "b", "similar"])
 
-    centres = everyone.groupBy("band", "value").agg(F.max_by("key", F.struct("popular", F.xxhash64("key", "band"))).alias("centre"))
-    met = everyone.join(stored(centres, "neardup-centres"), ["band", "value"]).where("key != centre")
+    centre = F.max_by(F.struct("key", "weight"), F.struct("popular", F.xxhash64("key", "band"))).alias("centre")
+    centres = everyone.groupBy("band", "value").agg(centre).select("band", "value", F.col("centre.key").alias("centre"), F.col("centre.weight").alias("centre_weight"))
+    near = F.least("weight", "centre_weight") >= (s.threshold - ROUNDING) * F.greatest("weight", "centre_weight")
+    met = everyone.join(stored(centres, "neardup-centres"), ["band", "value"]).where("key != centre").where(near)
     pairs = met.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
     with_texts = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b"
@@ -272,20 +291,31 @@ def similar_texts(keyed: DataFrame, s: Settings) -> DataFrame:
     links = stored(found.where("similar").select("a", "b"), "neardup-pairs")
     classes = stored(connected_classes(links, "a", "b"), "neardup-classes")
 
-    def compare_block(block: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    def sides_of(table: pa.Table) -> tuple[pa.Table, pa.Table, Side, Side]:
+        parts = [table.filter(table.column("on_left")).combine_chunks(), table.filter(pc.invert(table.column("on_left"))).combine_chunks()]
         sides = []
-        for part in (table.filter(table.column("on_left")), table.filter(pc.invert(table.column("on_left")))):
-            part = part.combine_chunks()
+        for part in parts:
             binary = lambda c: np.array(part.column(c).to_pylist(), dtype=object)  # noqa: B023, E731
             bands = np.array(part.column("bands").to_pylist(), np.int64).reshape(len(part), s.bands)
-            sides.append(Side(binary("key"), binary("label"), part.column("rest").to_numpy(), bands, pa.array(part.column("text").to_pylist(), pa.string())))
-        left, right = sides
+            texts = pa.array(part.column("text").to_pylist(), pa.string()) if "text" in part.column_names else None
+            sides.append(Side(binary("key"), binary("label"), part.column("rest").to_numpy(), bands, part.column("weight").to_numpy(), texts))
+        return *parts, *sides
+
+    def with_partner(block: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """The members of a block that have someone to be compared with."""
+        one, other, left, right = sides_of(table)
+        open_ = sampler.open_pairs(block[0].as_py(), left, right) if len(one) and len(other) else np.zeros((len(one), len(other)), bool)
+        return pa.concat_tables([one.filter(pa.array(open_.any(axis=1))), other.filter(pa.array(open_.any(axis=0)))])
+
+    def compare_block(block: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        _, _, left, right = sides_of(table)
         rows, others = sampler.links(block[0].as_py(), left, right) if len(left.key) and len(right.key) else ([], [])
         return pa.table({"a": pa.array(left.key[rows] if len(rows) else [], pa.binary()), "b": pa.array(right.key[others] if len(rows) else [], pa.binary())})
 
-    blocks = _blocks(stored(_labels(everyone, classes), "neardup-now"))
-    wanted = blocks.join(texts.join(signed, "key"), "key").select("band", "value", "row", "col", "on_left", "rest", "key", "label", "bands", "text")
-    more = stored(wanted.groupBy("band", "value", "row", "col").applyInArrow(compare_block, "a binary, b binary"), "neardup-links")
+    block = ("band", "value", "row", "col")
+    members = _blocks(stored(_labels(everyone, classes), "neardup-now")).join(signed, "key").select(*block, "on_left", "rest", "key", "label", "bands", "weight")
+    wanted = stored(members.groupBy(*block).applyInArrow(with_partner, members.schema), "neardup-wanted").join(texts, "key")
+    more = stored(wanted.groupBy(*block).applyInArrow(compare_block, "a binary, b binary"), "neardup-links")
     if more.isEmpty():
         return classes
     return stored(connected_classes(links.unionByName(more), "a", "b"), "neardup-classes")
