@@ -40,14 +40,19 @@ def seen(ids: DataFrame, source: Sequence[str], offset: str) -> DataFrame:
 
 
 def new_ids(batch: DataFrame, known: DataFrame, source: Sequence[str], offset: str) -> DataFrame:
-    """Rows of ``batch`` whose offset is in none of the known intervals. Rows without an offset are kept."""
-    names = [f"_k{i}" for i in range(len(source))]
-    listed = known.select(*[F.col(c).alias(k) for c, k in zip(source, names, strict=True)], F.col("chunk").alias("_chunk"), F.col("spans").alias("_spans"))
-    match = chunk_of(offset) == F.col("_chunk")
-    for c, k in zip(source, names, strict=True):
-        match = match & F.col(c).eqNullSafe(F.col(k))
-    holds = F.exists("_spans", lambda s: (s["lo"] <= F.col(offset)) & (F.col(offset) <= s["hi"]))
-    return batch.join(listed, match, "left").where(~F.coalesce(holds, F.lit(False))).select(*batch.columns)
+    """Rows of ``batch`` whose offset is in none of the known intervals. Rows without an offset are kept.
+
+    Rows and intervals of a chunk are put in one order, in which the end of the last interval is carried to the rows behind it. So the
+    work is that of a sort, however many intervals a chunk has; testing each row against all of them would be their product.
+    """
+    none = lambda t: F.lit(None).cast(t)
+    # no column of the batch can clash with these names but one of the source
+    packed = batch.select(*source, chunk_of(offset).alias("_chunk"), F.col(offset).cast("bigint").alias("_lo"), none("bigint").alias("_hi"), F.struct(*[F.col(f"`{c}`") for c in batch.columns]).alias("_row"))
+    rows = packed.where("_lo is not null")
+    spans = known.select(*source, F.col("chunk").alias("_chunk"), F.inline("spans").alias("_lo", "_hi")).withColumn("_row", none(packed.schema["_row"].dataType))
+    upto = Window.partitionBy(*source, "_chunk").orderBy("_lo", F.col("_hi").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    new = rows.unionByName(spans).withColumn("_end", F.max("_hi").over(upto)).where("_row is not null and (_end is null or _end < _lo)")
+    return new.select("_row.*").unionByName(batch.where(F.col(offset).isNull()))
 
 
 def merged(known: DataFrame, more: DataFrame, source: Sequence[str]) -> DataFrame:
