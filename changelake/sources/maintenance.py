@@ -16,6 +16,7 @@ from datetime import datetime
 from pyspark.sql import Column as SqlColumn, DataFrame, SparkSession, functions as F
 
 from changelake.operators.versions import TOMBSTONE_DAYS, compact, expire_deleted
+from changelake.session import written
 from changelake.sources.changelog import LOG_PART, PUBLISHED, PUBLISHED_SCHEMA, REWRITE, append_log, folder_name, published, visible_rows
 from changelake.specs import TableSpec
 
@@ -32,25 +33,26 @@ def rewrite(
 ) -> list[int]:
     """Reduce the log to the rows that ``keep`` leaves of it, and return the months written anew.
 
-    ``keep`` gets all rows and returns some of them, the same ones each time. Only months that lose rows are written; a month
-    that loses all of them is replaced by nothing. An empty log, or one that loses nothing, is left as it is.
+    ``keep`` gets all rows and returns some of them. It is evaluated once, into scratch space: its rows are counted, sampled for the
+    layout and written from there. Only months that lose rows are written to the log; a month that loses all of them is replaced by
+    nothing. An empty log, or one that loses nothing, is left as it is.
     """
     parts = _finished_parts(spark, path)
     there = visible_rows(spark, path, spec).where(F.col(LOG_PART).isin(parts))
     log = there.drop(LOG_PART)
+    left = written(keep(log), "rewrite")
     # one row per month
-    before, after = (rows.groupBy("yyyymm").agg(F.count("*").alias(n)) for rows, n in ((log, "n"), (keep(log), "left")))
+    before, after = (rows.groupBy("yyyymm").agg(F.count("*").alias(n)) for rows, n in ((log, "n"), (left, "left")))
     counts = before.join(after, "yyyymm", "left").where("n > coalesce(left, 0)").collect()
     if not counts:
         return []
     months = sorted(r.yyyymm for r in counts)
     part = f"{REWRITE}{uuid.uuid4().hex}"
-    kept = keep(log).where(F.col("yyyymm").isin(months))
-    append_log(kept, path, spec, layout, part=part, bloom=bloom)
+    append_log(left.where(F.col("yyyymm").isin(months)), path, spec, layout, part=part, bloom=bloom)
     wanted = sum(r.left or 0 for r in counts)
-    written = spark.read.schema(spec.log_schema).parquet(f"{path.rstrip('/')}/{LOG_PART}={part}").count()
-    if written != wanted:
-        raise RuntimeError(f"rewrite of {path} has {written} rows instead of {wanted}; it was not published")
+    found = spark.read.schema(spec.log_schema).parquet(f"{path.rstrip('/')}/{LOG_PART}={part}").count()
+    if found != wanted:
+        raise RuntimeError(f"rewrite of {path} has {found} rows instead of {wanted}; it was not published")
     replaced = there.where(F.col("yyyymm").isin(months)).select(LOG_PART, "yyyymm").distinct()
     marks = replaced.select(F.lit(part).alias("part"), F.col(LOG_PART).alias("replaced_part"), F.col("yyyymm").alias("replaced_month"))
     marks.to(spark.createDataFrame([], PUBLISHED_SCHEMA).schema).coalesce(1).write.mode("append").parquet(f"{path.rstrip('/')}/{PUBLISHED}")
