@@ -33,6 +33,8 @@ RANDOM_ROWS = 1 << 14
 #: Members of a bucket on one side of a block, and bytes of their texts; a longer text comes alone or with few others.
 BLOCK_MEMBERS = 512
 BLOCK_BYTES = 4 << 20
+#: Bits of the table of texts that meet another one, 4 MB. The more texts meet one, the more of the others are sent along.
+MET_BITS = 1 << 25
 #: Sums of weights differ by less than this with the order of their terms.
 ROUNDING = 1e-6
 
@@ -267,7 +269,8 @@ def similar_texts(keyed: DataFrame, s: Settings) -> DataFrame:
     members = stored(members.join(stored(shared, "neardup-shared"), ["band", "value"]), "neardup-met")
     # how many others a text meets: the original of many edited copies meets more of them than each of these
     popular = stored(members.groupBy("key").agg(F.sum("n").alias("popular")), "neardup-popular")
-    texts = stored(keyed.groupBy("key").agg(F.min("text").alias("text")).join(popular.select("key"), "key", "left_semi"), "neardup-texts")
+    sent = _may_be_in(keyed.select("key", "text"), popular)
+    texts = stored(sent.groupBy("key").agg(F.min("text").alias("text")).join(popular.select("key"), "key", "left_semi"), "neardup-texts")
     sizes = texts.select("key", F.octet_length("text").alias("bytes"))
     popular = stored(popular.join(sizes, "key").join(signed.select("key", "weight"), "key"), "neardup-sizes")
     everyone = stored(members.select("band", "value", "key").join(popular, "key"), "neardup-members")
@@ -321,6 +324,21 @@ def similar_texts(keyed: DataFrame, s: Settings) -> DataFrame:
     return stored(connected_classes(links.unionByName(more), "a", "b"), "neardup-classes")
 
 
+def _may_be_in(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows whose key is in `known`, all of them, and of the others about as many as `known` has rows a bit of MET_BITS.
+
+    The bits are copied to every task, MET_BITS of them whatever the size of `known`, so most other rows are left where they are read.
+    """
+    place = F.pmod(F.xxhash64("key"), F.lit(MET_BITS)) + 1
+    part, bit = F.bitmap_bucket_number("place").alias("part"), F.bitmap_bit_position("place").cast("int").alias("bit")
+    bits = known.select(place.alias("place")).select(part, bit).repartition("part").groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    placed = rows.withColumn("place", place).select(*rows.columns, part, bit)
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.expr("shiftright(byte, bit % 8) & 1 = 1")
+    met = placed.join(F.broadcast(bits), "part").withColumn("byte", byte).where(is_set)
+    return met.select(*rows.columns)
+
+
 def _blocks(members: DataFrame) -> DataFrame:
     """Members of each block of comparisons (band, value, row, col, on_left, rest, key, label), of buckets with more than one class.
 

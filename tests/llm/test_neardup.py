@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from changelake.llm import neardup
 from changelake.llm.classes import connected_classes
@@ -150,3 +151,15 @@ def test_connected_classes_against_union_find(spark):
     got = connected_classes(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()
     assert {r.node: r.label for r in got} == {x: find(x) for x in parent} and len(got) == len(parent)
     assert connected_classes(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_texts_that_meet_none_are_left_where_they_are_read(spark):
+    """Of rows whose key is not known nearly none is sent on; of the known ones none is lost, also where keys repeat."""
+    key = F.unhex(F.md5(F.col("id").cast("string"))).alias("key")
+    rows = spark.range(20_000).select(key, F.col("id").alias("text"))
+    known = spark.range(0, 20_000, 10).select(key)
+    kept = neardup._may_be_in(rows.unionAll(rows), known)
+    assert kept.columns == ["key", "text"]
+    assert kept.where("text % 10 = 0").count() == 2 * 2_000
+    assert kept.where("text % 10 <> 0").count() < 50
+    assert neardup._may_be_in(rows, known.limit(0)).count() == 0
