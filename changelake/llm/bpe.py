@@ -2,8 +2,8 @@
 
 An Arrow function splits a block of documents into the pattern's words and keeps each distinct one once; the blocks are written.
 Spark's higher-order functions fold the merges over distinct words: the fold's state is the list of byte runs with the rank of every
-adjacent pair, and each step merges the leftmost pair of lowest rank. The ranks are a literal in the plan; as a look-up in a
-Spark map scans its entries, the literal is an array of small maps, picked by the hash of the bytes. Words that stand in most blocks
+adjacent pair, and each step merges the leftmost pair of lowest rank. The ranks are one row that is copied to every task; as a look-up in a
+Spark map scans its entries, it holds an array of small maps, picked by the hash of the bytes. Words that stand in most blocks
 are folded once and shipped, COMMON of them at most; each block folds its other words. A last Arrow function puts the ids in document order.
 """
 
@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from changelake.llm.common import arrow_map, narrowed, stored
 from changelake.llm.texthash import slices
@@ -68,13 +68,25 @@ def _spark_hash(keys: list[bytes]) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def _rank_json(path: str) -> str:
+def _rank_maps(path: str) -> list[dict[bytes, int]]:
+    """The ranks dealt over MAPS small maps by Spark's hash of the bytes."""
     ranks = read_ranks(path)
-    keys = [token.hex() for token in ranks]
-    maps: list[dict[str, int]] = [{} for _ in range(MAPS)]
-    for key, at, rank in zip(keys, (_spark_hash(list(ranks)) % MAPS).tolist(), ranks.values(), strict=True):
-        maps[at][key] = rank
-    return json.dumps(maps, separators=(",", ":"))
+    maps: list[dict[bytes, int]] = [{} for _ in range(MAPS)]
+    for token, at in zip(ranks, (_spark_hash(list(ranks)) % MAPS).tolist(), strict=True):
+        maps[at][token] = ranks[token]
+    return maps
+
+
+def _rank_json(path: str) -> str:
+    return json.dumps([{token.hex(): rank for token, rank in m.items()} for m in _rank_maps(path)], separators=(",", ":"))
+
+
+def rank_table(spark: SparkSession, path: str) -> DataFrame:
+    """One row, one column, rank_maps: the small maps, to be joined to few rows. As a literal they would stand in every description of a
+    plan, some MB each time, and be parsed for each row."""
+    kind = pa.list_(pa.map_(pa.binary(), pa.int32()))
+    row = pa.table({"rank_maps": pa.array([[list(m.items()) for m in _rank_maps(path)]], kind)})
+    return stored(spark.createDataFrame(row), "bpe-ranks")
 
 
 def _rank_of(table: Column, run: Column) -> Column:
@@ -129,13 +141,17 @@ def encode_word(word: Column, table: Column, longest: int) -> Column:
     return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.aggregate(F.sequence(F.lit(2), size), state, step, ids))
 
 
-def encode_words(words: Column, ranks: str) -> Column:
-    """Ids of each word of a list of binaries, as array<array<int>>; ranks is the path of the rank file.
+def encode_words(words: Column, ranks: str, maps: Column | None = None) -> Column:
+    """Ids of each word of a list of binaries, as array<array<int>>; ranks is the path of the rank file, maps the column of its rank_table.
 
-    The literal holds the tokens in hex, as JSON has no bytes; they become binaries once for each list of words.
+    Without maps they are a literal that holds the tokens in hex, as JSON has no bytes. Either way they become objects
+    once for each list of words, so that a look-up copies no map.
     """
-    literal = F.from_json(F.lit(_rank_json(ranks)), "array<map<string,int>>")
-    table = F.transform(literal, lambda tokens: F.transform_keys(tokens, lambda token, _: F.unhex(token)))
+    if maps is None:
+        literal = F.from_json(F.lit(_rank_json(ranks)), "array<map<string,int>>")
+        table = F.transform(literal, lambda tokens: F.transform_keys(tokens, lambda token, _: F.unhex(token)))
+    else:
+        table = F.transform(maps, lambda tokens: F.transform_keys(tokens, lambda token, _: token))
     longest = max(map(len, read_ranks(ranks)), default=0)
     none = F.array().cast("array<array<int>>")
     # a fold over one element names the table, so that it is made once
@@ -179,12 +195,14 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
                     if held >= BLOCK:
                         yield block()
                         ids, sizes, index, known, held = [], [], [], {}, 0
+                        pa.default_memory_pool().release_unused()
         if ids:
             yield block()
 
     narrow = narrowed(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
     blocks = stored(arrow_map(narrow, split, "ids array<bigint>, sizes array<int>, word_index binary, words array<binary>"), "bpe-blocks", "zstd")
-    common = common_words(blocks.select("words"), ranks)
+    table = rank_table(docs.sparkSession, ranks)
+    common = common_words(blocks.select("words"), ranks, table)
     shared_cuts, shared_ids = common.column("ids").offsets.to_numpy(), common.column("ids").values.to_numpy(zero_copy_only=False)
     shared_words = common.column("word")
 
@@ -197,6 +215,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
                 lists = pa.ListArray.from_arrays(pa.array([0, len(rest)], pa.int32()), rest)
                 columns = [c.slice(row, 1) for c in batch.columns[:3]]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([place.tobytes()], pa.binary()), lists], names=["ids", "sizes", "word_index", "place", "words"])
+                pa.default_memory_pool().release_unused()  # the words are folded before the next block comes
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,11 +242,13 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
                     yield pa.RecordBatch.from_arrays([keys[low:high], lists, pa.array(digests)], names=["doc_id", "ids", "ids_sha256"])
 
     others = arrow_map(blocks, leave_common, "ids array<bigint>, sizes array<int>, word_index binary, place binary, words array<binary>")
-    coded = others.select("ids", "sizes", "word_index", "place", encode_words(F.col("words"), ranks).alias("coded"))
+    coded = others.crossJoin(F.broadcast(table)).select(
+        "ids", "sizes", "word_index", "place", encode_words(F.col("words"), ranks, F.col("rank_maps")).alias("coded")
+    )
     return arrow_map(coded, join, "doc_id bigint, ids array<int>, ids_sha256 string")
 
 
-def common_words(blocks: DataFrame, ranks: str) -> pa.RecordBatch:
+def common_words(blocks: DataFrame, ranks: str, table: DataFrame) -> pa.RecordBatch:
     """Words that stand in most blocks (one column, words: a list of distinct ones per block) with their ids: word, ids.
 
     Words of more than one block and of COMMON_BYTES bytes at most, counted over all blocks; those above a count that leaves COMMON words
@@ -244,10 +265,12 @@ def common_words(blocks: DataFrame, ranks: str) -> pa.RecordBatch:
         cut = step
     chosen = counted.where(F.col("step") >= cut) if cut is not None else counted.limit(0)
     lists = chosen.groupBy(F.pmod(F.hash("word"), F.lit(48)).alias("part")).agg(F.sort_array(F.collect_list("word")).alias("words"))
-    pairs = lists.repartition(48, "part").select(F.explode(F.arrays_zip("words", encode_words(F.col("words"), ranks).alias("ids"))).alias("pair"))
-    table = stored(pairs.select("pair.words", "pair.ids"), "bpe-common").toArrow().combine_chunks()
+    lists = lists.repartition(48, "part").crossJoin(F.broadcast(table))
+    lists = lists.select("words", encode_words(F.col("words"), ranks, F.col("rank_maps")).alias("ids"))
+    pairs = lists.select(F.explode(F.arrays_zip("words", "ids")).alias("pair"))
+    got = stored(pairs.select("pair.words", "pair.ids"), "bpe-common").toArrow().combine_chunks()
     types = (pa.binary(), pa.list_(pa.int32()))
-    columns = [pa.concat_arrays(c.chunks).cast(t) if c.num_chunks else pa.array([], t) for c, t in zip(table.columns, types, strict=True)]
+    columns = [pa.concat_arrays(c.chunks).cast(t) if c.num_chunks else pa.array([], t) for c, t in zip(got.columns, types, strict=True)]
     return pa.RecordBatch.from_arrays(columns, names=["word", "ids"])
 
 

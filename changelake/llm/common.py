@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 import changelake
@@ -42,7 +43,15 @@ _SHIPPED: set[str] = set()
 
 
 def arrow_map(frame: DataFrame, function: Callable, schema: str | T.StructType) -> DataFrame:
-    """mapInArrow, after making this package importable on the executors (once per application)."""
+    """mapInArrow, after making this package importable on the executors (once per application).
+
+    A Python worker stays for later tasks, so what Arrow has kept of a task's memory goes back at its end.
+    """
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+
     context = frame.sparkSession.sparkContext
     if context.applicationId not in _SHIPPED:
         package = Path(changelake.__file__).parent
@@ -52,4 +61,4 @@ def arrow_map(frame: DataFrame, function: Callable, schema: str | T.StructType)
                 z.write(source, source.relative_to(package.parent))
         context.addPyFile(str(archive))  # the driver's file server hands it to every executor, also to later ones
         _SHIPPED.add(context.applicationId)
-    return frame.mapInArrow(function, schema)
+    return frame.mapInArrow(released, schema)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -7,7 +8,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from changelake.llm import bpe
+from changelake.llm import bpe, common
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -63,3 +64,21 @@ def test_words_common_to_many_blocks(make_docs, encoding):
     docs = make_docs(*enumerate(texts)).repartition(6, "doc_id")
     got = {r.doc_id: r.ids for r in bpe.encode(docs, PATH, public_tokenizers.PATTERN).collect()}
     assert got == {i: encoding.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_memory_of_a_task_goes_back(spark, monkeypatch):
+    """A worker is used again, so Arrow gives back what it kept, once the last batch of a task is out."""
+    done = []
+    pool = SimpleNamespace(release_unused=lambda: done.append("released"))
+    monkeypatch.setattr(common, "pa", SimpleNamespace(default_memory_pool=lambda: pool, RecordBatch=object))
+    frame = SimpleNamespace(sparkSession=spark, mapInArrow=lambda function, schema: function)
+    task = common.arrow_map(frame, lambda batches: (2 * x for x in batches), "n bigint")
+    for out in task(iter([1, 2])):
+        done.append(out)
+    assert done == [2, 4, "released"]
+
+
+def test_plans_do_not_hold_the_ranks(make_docs):
+    """The descriptions of a plan go to the driver's listeners again and again; they are short, whatever the number of ranks."""
+    plan = bpe.encode(make_docs((1, "some text")), PATH, public_tokenizers.PATTERN)._jdf.queryExecution().toString()
+    assert len(plan) < 100_000
