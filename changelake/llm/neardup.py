@@ -222,6 +222,15 @@ class Sampler:
         either = np.bincount(d, x, n) - both
         return np.divide(both, either, out=np.ones(n), where=either > 0)
 
+    def similar(self, one: pa.Array, other: pa.Array) -> np.ndarray:
+        """Whether the texts in the same row of both columns are similar, found a small slice of either column at a time."""
+        out = np.zeros(len(one), bool)
+        for at, to in slices(one, SMALL_SLICE):
+            for low, high in slices(other.slice(at, to - at), SMALL_SLICE):
+                rows = slice(at + low, at + high)
+                out[rows] = self.similarity(one.slice(rows.start, high - low), other.slice(rows.start, high - low)) >= self.s.threshold
+        return out
+
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Class of near-duplicates of every row.
@@ -277,10 +286,8 @@ def similar_texts(keyed: DataFrame, s: Settings) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to in slices(batch.column(2)):
-                part = batch.slice(at, to - at)
-                similar = sampler.similarity(part.column(2), part.column(3)) >= s.threshold
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(similar)], names=["a", "b", "similar"])
+            similar = pa.array(sampler.similar(batch.column(2), batch.column(3)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), similar], names=["a", "b", "similar"])
 
     centre = F.max_by(F.struct("key", "weight"), F.struct("popular", F.xxhash64("key", "band"))).alias("centre")
     centres = everyone.groupBy("band", "value").agg(centre).select("band", "value", F.col("centre.key").alias("centre"), F.col("centre.weight").alias("centre_weight"))

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -163,3 +164,23 @@ def test_texts_that_meet_none_are_left_where_they_are_read(spark):
     assert kept.where("text % 10 = 0").count() == 2 * 2_000
     assert kept.where("text % 10 <> 0").count() < 50
     assert neardup._may_be_in(rows, known.limit(0)).count() == 0
+
+
+def test_pairs_are_compared_in_bounded_memory():
+    """However many texts a batch holds and whichever side is long, and with the answers of a comparison row by row."""
+    rng = random.Random(9)
+    sampler = neardup.Sampler(np.ones(neardup.DF_BUCKETS, np.float32), neardup.Settings())
+    base = words(rng, 300)
+    long = " ".join(base) + " "
+    one = [" ".join(base) if i % 3 else " ".join(edited(rng, base, 1)) for i in range(4_000)] + [" ".join(words(rng, 300)), "", "a b"] + ["a b c"] * 4
+    other = [" ".join(base)] * 4_000 + [" ".join(base), "", "a b"] + [long * 400] * 4
+    one, other = pa.array(one), pa.array(other)
+    tracemalloc.start()
+    got = sampler.similar(one, other)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    some = [*range(0, 4_000, 500), *range(3_998, len(one))]
+    assert [bool(got[i]) for i in some] == [bool(sampler.similarity(one.slice(i, 1), other.slice(i, 1))[0] >= 0.8) for i in some]
+    assert got[:4_000].all() and not got[4_000] and got[4_001] and got[4_002] and not got[4_003:].any()
+    assert peak < 80e6
+    assert len(sampler.similar(one.slice(0, 0), other.slice(0, 0))) == 0
