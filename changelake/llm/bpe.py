@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from changelake.llm.common import arrow_map, narrowed, stored
+from changelake.llm.common import arrow_map, give_back, narrowed, stored
 from changelake.llm.texthash import slices
 
 #: Small maps that the ranks are dealt over.
@@ -195,7 +195,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
                     if held >= BLOCK:
                         yield block()
                         ids, sizes, index, known, held = [], [], [], {}, 0
-                        pa.default_memory_pool().release_unused()
+                        give_back()
         if ids:
             yield block()
 
@@ -215,31 +215,35 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
                 lists = pa.ListArray.from_arrays(pa.array([0, len(rest)], pa.int32()), rest)
                 columns = [c.slice(row, 1) for c in batch.columns[:3]]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([place.tobytes()], pa.binary()), lists], names=["ids", "sizes", "word_index", "place", "words"])
-                pa.default_memory_pool().release_unused()  # the words are folded before the next block comes
+                give_back()  # the words are folded before the next block comes
+
+    def documents(batch: pa.RecordBatch, row: int) -> Iterator[pa.RecordBatch]:
+        keys, sizes = batch.column(0)[row].values, batch.column(1)[row].values.to_numpy()
+        index, place = (np.frombuffer(batch.column(c)[row].as_buffer(), np.int32) for c in (2, 3))
+        coded = batch.column(4)[row].values
+        cuts = coded.offsets.to_numpy()
+        flat = np.concatenate([shared_ids, coded.values.to_numpy(zero_copy_only=False)])
+        begin, size = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
+        own = place < 0
+        begin[~own], size[~own] = shared_cuts[place[~own]], np.diff(shared_cuts)[place[~own]]
+        begin[own], size[own] = cuts[:-1] + len(shared_ids), np.diff(cuts)
+        ends = np.cumsum(sizes)
+        for low in range(0, len(sizes), 256):
+            high = min(low + 256, len(sizes))
+            part = index[ends[low] - sizes[low] : ends[high - 1]]
+            lengths = size[part]
+            total = np.concatenate([[0], np.cumsum(lengths)])
+            tokens = flat[np.repeat(begin[part] - total[:-1], lengths) + np.arange(total[-1])].astype("<i4")
+            bounds = total[np.concatenate([[0], np.cumsum(sizes[low:high])])].astype(np.int32)
+            digests = [hashlib.sha256(tokens[a:b].tobytes()).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(tokens, pa.int32()))
+            yield pa.RecordBatch.from_arrays([keys[low:high], lists, pa.array(digests)], names=["doc_id", "ids", "ids_sha256"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
-                keys, sizes = batch.column(0)[row].values, batch.column(1)[row].values.to_numpy()
-                index, place = (np.frombuffer(batch.column(c)[row].as_buffer(), np.int32) for c in (2, 3))
-                coded = batch.column(4)[row].values
-                cuts = coded.offsets.to_numpy()
-                flat = np.concatenate([shared_ids, coded.values.to_numpy(zero_copy_only=False)])
-                begin, size = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
-                own = place < 0
-                begin[~own], size[~own] = shared_cuts[place[~own]], np.diff(shared_cuts)[place[~own]]
-                begin[own], size[own] = cuts[:-1] + len(shared_ids), np.diff(cuts)
-                ends = np.cumsum(sizes)
-                for low in range(0, len(sizes), 256):
-                    high = min(low + 256, len(sizes))
-                    part = index[ends[low] - sizes[low] : ends[high - 1]]
-                    lengths = size[part]
-                    total = np.concatenate([[0], np.cumsum(lengths)])
-                    tokens = flat[np.repeat(begin[part] - total[:-1], lengths) + np.arange(total[-1])].astype("<i4")
-                    bounds = total[np.concatenate([[0], np.cumsum(sizes[low:high])])].astype(np.int32)
-                    digests = [hashlib.sha256(tokens[a:b].tobytes()).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                    lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(tokens, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([keys[low:high], lists, pa.array(digests)], names=["doc_id", "ids", "ids_sha256"])
+                yield from documents(batch, row)
+                give_back()  # the next block's words are folded before it comes
 
     others = arrow_map(blocks, leave_common, "ids array<bigint>, sizes array<int>, word_index binary, place binary, words array<binary>")
     coded = others.crossJoin(F.broadcast(table)).select(

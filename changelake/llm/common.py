@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -13,15 +14,18 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 import changelake
 from changelake.session import scratch_dir
 
+#: Hadoop's setting for the empty file that marks a finished write. Where its native library is missing, the driver starts a
+#: process for that file and one for its checksum.
+NO_MARK = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
 
 def stored(frame: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write a frame under the cluster's shared checkpoint folder and read it back.
 
     Cuts the lineage like checkpoint(), in columns, so that lost executors repeat no earlier step and a later
-    join sees measured sizes and can split a hot key.
+    join sees measured sizes and can split a hot key. Nobody waits for the mark of a finished write, so none is made.
     """
     path = scratch_dir(frame.sparkSession, name)
-    frame.write.parquet(path, compression=codec)
+    frame.write.option(NO_MARK, "false").parquet(path, compression=codec)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
@@ -39,18 +43,26 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def give_back() -> None:
+    """Return memory that was freed but kept, by Arrow and by the C library, of which NumPy's arrays are; other C libraries keep theirs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 _SHIPPED: set[str] = set()
 
 
 def arrow_map(frame: DataFrame, function: Callable, schema: str | T.StructType) -> DataFrame:
     """mapInArrow, after making this package importable on the executors (once per application).
 
-    A Python worker stays for later tasks, so what Arrow has kept of a task's memory goes back at its end.
+    A Python worker stays for later tasks, so what has been kept of a task's memory goes back at its end.
     """
 
     def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from function(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     context = frame.sparkSession.sparkContext
     if context.applicationId not in _SHIPPED:

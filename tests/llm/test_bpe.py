@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -82,3 +84,29 @@ def test_plans_do_not_hold_the_ranks(make_docs):
     """The descriptions of a plan go to the driver's listeners again and again; they are short, whatever the number of ranks."""
     plan = bpe.encode(make_docs((1, "some text")), PATH, public_tokenizers.PATTERN)._jdf.queryExecution().toString()
     assert len(plan) < 100_000
+
+
+def test_freed_arrays_of_a_task_go_back(spark):
+    """NumPy's arrays too, which the C library keeps when they are freed below one that stays."""
+    held = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+    kept = []
+
+    def work(batches):
+        arrays = [np.ones(12_000) for _ in range(1_500)]
+        kept.append(np.ones(12_000))
+        yield sum(len(a) for a in arrays)
+
+    frame = SimpleNamespace(sparkSession=spark, mapInArrow=lambda function, schema: function)
+    task = common.arrow_map(frame, work, "n bigint")
+    before = held()
+    assert list(task(iter([]))) == [18_000_000]
+    assert held() < before + 40
+    assert len(kept[0]) == 12_000
+
+
+def test_written_frames_have_no_mark_of_a_finished_write(spark):
+    """The driver would start two processes for each, which for a moment count with all of its memory."""
+    frame = common.stored(spark.range(5), "unmarked")
+    assert frame.count() == 5
+    folder = Path(frame.inputFiles()[0].removeprefix("file://")).parent
+    assert not list(folder.glob("*_SUCCESS*"))
