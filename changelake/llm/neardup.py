@@ -270,6 +270,7 @@ def similar_texts(keyed: DataFrame, s: Settings) -> DataFrame:
                     cuts = pa.array(np.arange(len(part) + 1, dtype=np.int32) * s.bands)
                     lists = pa.ListArray.from_arrays(cuts, pa.array(keys.view(np.int64).ravel()))
                     yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(weight)], names=["key", "bands", "weight"])
+        _random_tables.cache_clear()  # a worker stays for later tasks
 
     signed = arrow_map(keyed, sign, "key binary, bands array<bigint>, weight double")
     signed = stored(signed.groupBy("key").agg(F.first("bands").alias("bands"), F.first("weight").alias("weight")), "neardup-bands")
